@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, licenses, quality, secrets
+from tagloom.llm import bpe, licenses, media, quality, secrets, tokenshards
 from tagloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,13 @@ ORACLE_SQL["op10_license_scan"] = licenses.oracle()
 def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit_on(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenshards.tokenize_to_shards(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
