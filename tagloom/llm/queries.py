@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, licenses, media, quality, secrets, tokenshards
+from tagloom.llm import bpe, decontaminate, licenses, media, quality, secrets, tokenshards
 from tagloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,11 @@ def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenshards.tokenize_to_shards(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+ORACLE_SQL["op6_spaced_seed_decontamination"] = decontaminate.oracle()
