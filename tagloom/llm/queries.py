@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontaminate, licenses, media, quality, secrets, tokenshards
+from tagloom.llm import bpe, decontaminate, licenses, media, neardup, quality, secrets, tokenshards
 from tagloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 ORACLE_SQL["op6_spaced_seed_decontamination"] = decontaminate.oracle()
+
+
+@query
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
