@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, decontaminate, licenses, media, neardup, quality, secrets, tokenshards
+from tagloom.llm import bpe, chat, decontaminate, licenses, media, neardup, pages, quality, secrets, tokenshards
 from tagloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(chat.with_probe(read(spark, sf_dir, "conversations")))
+
+
+@query
+def op3_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
