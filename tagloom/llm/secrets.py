@@ -64,14 +64,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None, keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
     """Secrets of each document with the ownership of their values, one output row per input row.
 
     Null text counts as empty. A null owner or repository is one unknown owner or
     repository. Repeated rows are repeated in the result and count once for frequency.
     `repo` is a column of the repository, by default the owner. Columns of `keep` pass
     through; others are ignored. Result: doc_id, n_assign, n_access, n_hex, base_sha256,
-    spans, n_live, n_example, max_owners, live (array of spans to act on), kept columns.
+    spans, n_live, n_example, max_owners, live (array of spans to act on), kept columns;
+    `redacted` adds the text with those spans replaced.
     """
     spark, keep = docs.sparkSession, keep or []
     scratch = Scratch(spark, "secrets")
@@ -81,7 +82,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     )
     hit = F.col("_text").rlike(ANY)
     kept = [f"k_{c}" for c in keep]
-    found = src.where(hit).select("_id", "_owner", "_repo", *kept, F.array_sort(F.concat(*[_spans(F.col("_text"), k) for k in range(len(KINDS))])).alias("_spans"))
+    found = src.where(hit).select("_id", "_owner", "_repo", *kept, *(["_text"] if redacted else []), F.array_sort(F.concat(*[_spans(F.col("_text"), k) for k in range(len(KINDS))])).alias("_spans"))
     found = scratch.table(found.withColumn("_row", F.monotonically_increasing_id()), "spans")
 
     each = found.select("_row", "_owner", "_repo", F.explode("_spans").alias("_s")).select("_row", "_owner", "_repo", "_s", F.col("_s.hash").alias("_hash"))
@@ -96,6 +97,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     shown = F.filter(judged_all, lambda s: (s["kind"] != "opaque") | (s["owners"] <= LIVE_OWNERS))
     live = F.filter(judged_all, lambda s: s["owners"] < EXAMPLE_OWNERS)
     count = lambda k: F.size(F.filter("_spans", lambda s: s["rank"] == k)).cast("long")
+    acted = F.filter(live, lambda s: (s["kind"] != "opaque") | (s["owners"] <= LIVE_OWNERS))
     dirty = full.select(
         F.col("_id").alias("doc_id"),
         *[count(k).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE))],
@@ -104,12 +106,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.size(F.filter(judged_all, lambda s: s["owners"] <= LIVE_OWNERS)).cast("long").alias("n_live"),
         F.size(F.filter(judged_all, lambda s: s["owners"] >= EXAMPLE_OWNERS)).cast("long").alias("n_example"),
         F.coalesce(F.array_max(F.transform(judged_all, lambda s: s["owners"])), F.lit(0)).cast("long").alias("max_owners"),
-        F.filter(live, lambda s: (s["kind"] != "opaque") | (s["owners"] <= LIVE_OWNERS)).alias("live"),
+        acted.alias("live"),
+        *([redact(F.col("_text"), acted).alias("redacted")] if redacted else []),
         *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)],
     )
     zero = F.lit(0).cast("long")
     clean = src.where(~hit).select(
-        F.col("_id").alias("doc_id"), *[zero.alias(f"n_{k[0]}") for k in BASE], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_live"), zero.alias("n_example"), zero.alias("max_owners"), F.expr("array()").cast(dirty.schema["live"].dataType).alias("live"), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
+        F.col("_id").alias("doc_id"), *[zero.alias(f"n_{k[0]}") for k in BASE], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_live"), zero.alias("n_example"), zero.alias("max_owners"), F.expr("array()").cast(dirty.schema["live"].dataType).alias("live"), *([F.col("_text").alias("redacted")] if redacted else []), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
     )
     return dirty.unionByName(clean)
 
