@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -19,18 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.llm.bpe import Memory, byte_chars
 from tagloom.llm.common import Scratch, arrow_map, release, texts_of
 
 MAGIC = b"SSTTOK01"
 #: Bytes of a block before compression, of a shard's data, and Bloom filter bits for each document.
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 32 << 20, 10, 7
-#: Texts that are tokenized together.
-TOGETHER = 64
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 
 
@@ -173,12 +174,55 @@ class ShardReader:
         return out
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space and the word after it; a byte-level pre-tokenizer never joins what stands on both sides of such a cut.
+_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: The words of a chunk as byte-level pre-tokenizing cuts them.
+_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Chunks and words whose ids one worker remembers.
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 400_000
+
+
+class CachedTokenizer:
+    """The tokenizers library with a memory of frequent chunks and words; each unknown word goes to the library's model."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.memory, self.words = Memory(CACHE_CHUNKS), Memory(CACHE_WORDS)
+        self.model, self.chars = self.library.model, byte_chars()
+        self.space = self.chars[32]
+        self.size = self.library.get_vocab_size()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if any(t in text for t in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks = _CHUNK.findall(text)
+        out = list(map(self.memory.known.get, chunks))
+        if None in out:
+            unknown = [(k, _PIECE.findall(chunks[k])) for k, got in enumerate(out) if got is None]
+            known = self.words.known
+            fresh = {}
+            for _, words in unknown:
+                for w in words:
+                    if w not in known and w not in fresh:
+                        shown = w.replace(" ", self.space) if w.isascii() and w.isprintable() else "".join([self.chars[b] for b in w.encode()])
+                        ids = [t.id for t in self.model.tokenize(shown)]
+                        fresh[w] = struct.pack(f"<{len(ids)}I", *ids)
+            for k, words in unknown:
+                out[k] = self.memory.put(chunks[k], b"".join([fresh.get(w) or known[w] for w in words]))
+            for w, got in fresh.items():
+                self.words.put(w, got)
+        return b"".join(out)
+
 
-    return Tokenizer.from_file(path)
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> CachedTokenizer:
+    return CachedTokenizer(path)
 
 
 def write_shards(docs: DataFrame, vocab: str, end_id: int, base: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,21 +241,20 @@ def write_shards(docs: DataFrame, vocab: str, end_id: int, base: str, id_col: st
 
         part, seq, done = TaskContext.get().partitionId(), 0, []
         tok = _tokenizer(vocab)
-        width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        width = 2 if max(tok.size, end_id + 1) <= 1 << 16 else 4
+        end = np.array([end_id], "<u4").tobytes()
         writer, last, nth, first = None, None, 0, None
         for b in batches:
-            texts, ids = texts_of(b.column(1)), b.column(0).to_pylist()
-            for at in range(0, len(texts), TOGETHER):
-                for doc_id, enc in zip(ids[at : at + TOGETHER], tok.encode_batch_fast(texts[at : at + TOGETHER], add_special_tokens=False), strict=True):
-                    if writer is None:
-                        writer, first = ShardWriter(base, width), doc_id
-                    nth = nth + 1 if doc_id == last and writer.docs else 0
-                    last = doc_id
-                    writer.add(key_of(doc_id, nth), np.append(np.array(enc.ids, np.uint32), np.uint32(end_id)))
-                    if writer.at >= SHARD_BYTES:
-                        writer.close()
-                        done.append((part, seq, writer.uri, first, writer.docs, writer.tokens))
-                        writer, seq = None, seq + 1
+            for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+                if writer is None:
+                    writer, first = ShardWriter(base, width), doc_id
+                nth = nth + 1 if doc_id == last and writer.docs else 0
+                last = doc_id
+                writer.add(key_of(doc_id, nth), np.frombuffer(tok.encode(text) + end, "<u4"))
+                if writer.at >= SHARD_BYTES:
+                    writer.close()
+                    done.append((part, seq, writer.uri, first, writer.docs, writer.tokens))
+                    writer, seq = None, seq + 1
         if writer is not None:
             writer.close()
             done.append((part, seq, writer.uri, first, writer.docs, writer.tokens))
