@@ -98,6 +98,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lines = lines.where(_count_words(F.col("_spaced")) >= least_words)
     own = F.array(*map(F.lit, vocabulary))
     words = lines.select("_row", "_line", F.array_intersect(F.split(F.trim("_spaced"), " "), own).alias("_words")).where(F.size("_words") >= 1)
+    # cutting lines into words is the costly part, so it is done once for the counts and the join
+    words = scratch.table(words, "words")
     # corpus frequency: the number of lines that hold the token
     counts = words.select(F.explode("_words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     order = {r.token: (r.n, r.token) for r in counts.collect()}  # at most one row for each template word
