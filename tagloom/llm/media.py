@@ -2,29 +2,37 @@
 
 A payload of 8-bit samples is cut where a rolling gear hash of its last 32 bytes has
 zero top bits, so equal passages give equal chunks wherever they stand. Chunks are
-stored once by digest; a recipe of ordered digests rebuilds each payload. Equal
-payloads share one recipe. Rebuilding joins recipes with the chunk store, streams each
-payload's chunks in order and verifies digest and length.
+stored once by digest, compressed with a dictionary, in a table bucketed by digest; a recipe of
+ordered digests rebuilds each payload. Equal payloads share one recipe. Rebuilding joins
+recipes with the chunk store, which is not shuffled again, streams each payload's chunks
+in order and verifies digest and length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import Scratch, arrow_map, release
+from tagloom.llm.common import Scratch, arrow_map, release, remove
 
 PAD, MULTIPLE = b"\x20", 192
 #: Chunk bytes: least, average (a power of two), most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), "<u4").astype(np.uint32)
+#: Texts, and characters of each, from which the compression dictionary is made, and its bytes. It changes sizes only.
+DICTIONARY_TEXTS, DICTIONARY_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 8000, 110_000, 12
+#: References from which on a chunk is dealt out over SALTS tasks when payloads are rebuilt.
+HOT_REFERENCES, SALTS = 4096, 64
 #: Digests that one task remembers, so that it ships a frequent chunk once.
 RECENT = 100_000
 
@@ -94,25 +102,45 @@ def features(payload: bytes) -> str:
     return f"mean={mean};power={int((centred * centred).sum()) // len(x)};crossings={int(np.count_nonzero(np.diff(centred >= 0)))}"
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (digest, deflated chunk), each digest once for what a task remembers."""
-    seen: set[bytes] = set()
-    for b in batches:
-        digests, data = [], []
-        for t in b.column(0).to_pylist():
-            payload, _ = payload_of(t)
-            at = 0
-            for end in cuts(payload):
-                chunk = payload[at:end]
-                at = end
-                d = hashlib.sha256(chunk).digest()[:20]
-                if d not in seen:
-                    if len(seen) >= RECENT:
-                        seen.clear()
-                    seen.add(d)
-                    digests.append(d)
-                    data.append(zlib.compress(chunk, 6))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
+def train_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """A compression dictionary from a bounded sample, the texts of the smallest hashes; empty if there is too little text."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("_h"), F.substring(text_col, 1, DICTIONARY_CHARS).alias("_t")).orderBy("_h").limit(DICTIONARY_TEXTS).collect()
+    samples = [c for r in rows for c in _pieces(payload_of(r._t)[0])]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _pieces(payload: bytes) -> list[bytes]:
+    ends = cuts(payload)
+    return [payload[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(raw) if raw else None
+
+
+def _split(dictionary: bytes):
+    """(text) -> (digest, compressed chunk), each digest once for what a task remembers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_dict_id=False)
+        for b in batches:
+            digests, data = [], []
+            for t in b.column(0).to_pylist():
+                for chunk in _pieces(payload_of(t)[0]):
+                    d = hashlib.sha256(chunk).digest()[:20]
+                    if d not in seen:
+                        if len(seen) >= RECENT:
+                            seen.clear()
+                        seen.add(d)
+                        digests.append(d)
+                        data.append(packer.compress(chunk))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
+
+    return run
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +148,16 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, lists = [], [], []
         for t in b.column(1).to_pylist():
             payload, n = payload_of(t)
-            ends = cuts(payload)
             keys.append(hashlib.sha256(payload).digest())
             sizes.append(n)
-            lists.append([hashlib.sha256(payload[a:z]).digest()[:20] for a, z in zip([0, *ends], ends, strict=False)])
+            lists.append([hashlib.sha256(c).digest()[:20] for c in _pieces(payload)])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "key", "chunks"])
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rebuild(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
     """(key, pos, data) ordered by key and pos -> one row for each key; holds one payload at a time."""
     key, parts = None, []
+    unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
     def done() -> tuple:
         media = stored_form(parts)
@@ -147,7 +175,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, parts = k, []
             if pos != len(parts):
                 raise ValueError("a chunk is missing from the store")
-            parts.append(zlib.decompress(data))
+            parts.append(unpacker.decompress(data, max_output_size=MOST))
         yield _rows(rows)
     if key is not None:
         yield _rows([done()])
@@ -160,24 +188,48 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BUILT)], schema=_BUILT)
 
 
-def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Write the recipes (doc_id, n_bytes, key, chunks) and the chunk store (digest, data); return both tables."""
+@dataclass
+class Store:
+    """Recipes (doc_id, n_bytes, key, chunks), the bucketed table of chunks (digest, data) and their dictionary."""
+
+    recipes: DataFrame
+    table: str
+    path: str
+    dictionary: bytes
+
+
+def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> Store:
+    """Write recipes, chunks and dictionary."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    dictionary = train_dictionary(docs, text_col)
+    scratch.table(spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "dictionary")
     recipes = scratch.table(arrow_map(docs.select(docs[id_col], docs[text_col]), _recipes, f"doc_id {kind}, n_bytes long, key binary, chunks array<binary>"), "recipes")
-    chunks = arrow_map(docs.select(docs[text_col]), _split, "digest binary, data binary").dropDuplicates(["digest"])
-    chunks = scratch.table(chunks, "chunks")
-    release(docs.sparkSession)
-    return recipes, chunks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = arrow_map(docs.select(docs[text_col]), _split(dictionary), "digest binary, data binary").dropDuplicates(["digest"])
+    table, path = f"media_chunks_{uuid.uuid4().hex[:12]}", scratch.path("chunks")
+    chunks.write.bucketBy(n, "digest").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(table)
+    release(spark)
+    return Store(recipes, table, path, dictionary)
 
 
-def rebuild(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
+def rebuild(kept: Store, scratch: Scratch) -> DataFrame:
     """Read each distinct payload back from the store: key, sizes, digests and features of the stored form."""
-    spark = recipes.sparkSession
-    wanted = recipes.select("key", "chunks").dropDuplicates(["key"]).select("key", F.posexplode("chunks").alias("pos", "digest"))
-    parts = wanted.join(chunks, "digest").select("key", "pos", "data")
+    spark = kept.recipes.sparkSession
+    chunks = spark.table(kept.table)
+    wanted = kept.recipes.select("key", "chunks").dropDuplicates(["key"]).select("key", F.posexplode("chunks").alias("pos", "digest"))
+    hot = scratch.table(wanted.groupBy("digest").count().where(F.col("count") >= HOT_REFERENCES).select("digest"), "hot")
+    if hot.isEmpty():
+        parts = wanted.join(chunks, "digest").select("key", "pos", "data")
+    else:
+        parts = wanted.join(hot, "digest", "left_anti").join(chunks, "digest").select("key", "pos", "data")
+        salted = wanted.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        copies = chunks.join(hot, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = parts.unionByName(salted.join(copies, ["digest", "salt"]).select("key", "pos", "data"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = parts.repartition(n, "key").sortWithinPartitions("key", "pos")
-    return arrow_map(ordered, _rebuild, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    dictionary = kept.dictionary
+    return arrow_map(ordered, lambda batches: _rebuild(batches, dictionary), "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,8 +239,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stored once; a null id stays null; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "media")
-    recipes, chunks = store(docs, scratch, id_col, text_col)
-    built = scratch.table(rebuild(recipes, chunks), "built")
-    scratch.drop(chunks)
+    kept = store(docs, scratch, id_col, text_col)
+    built = scratch.table(rebuild(kept, scratch), "built")
+    docs.sparkSession.sql(f"DROP TABLE {kept.table}")
+    remove(docs.sparkSession, kept.path)
     release(docs.sparkSession)
-    return recipes.select("doc_id", "n_bytes", "key").join(built, "key").drop("key")
+    return kept.recipes.select("doc_id", "n_bytes", "key").join(built, "key").drop("key")
