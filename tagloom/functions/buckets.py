@@ -58,16 +58,15 @@ def percentile_columns(counts: Column, percentiles: Sequence[float]) -> list[Col
     """Estimates from an array of (bucket, count) sorted by bucket; linear inside a bucket; null without counts."""
     bounds = F.array(*[F.lit(b) for b in BOUNDS])
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["count"])
-    out = []
-    for p in percentiles:
-        target = total * F.lit(p / 100.0)
 
-        def step(a: Column, x: Column, target: Column = target) -> Column:
-            here = a["done"].isNull() & (a["sum"] + x["count"] >= target) & (x["count"] > 0)
+    def walk(target: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            here = a["done"].isNull() & (a["sum"] + x["count"] >= target - 1e-9) & (x["count"] > 0)
             low = F.when(x["bucket"] == 0, 0.0).otherwise(F.get(bounds, x["bucket"] - 1))
             high = F.get(bounds, x["bucket"])
             return F.struct((a["sum"] + x["count"]).alias("sum"), F.when(here, low + (high - low) * F.greatest(target - a["sum"], F.lit(0.0)) / x["count"]).otherwise(a["done"]).alias("done"))
 
         walked = F.aggregate(counts, F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("done")), step)
-        out.append(F.when(total > 0, walked["done"]))
-    return out
+        return F.when(total > 0, walked["done"])
+
+    return [walk(total * F.lit(p / 100.0)) for p in percentiles]
