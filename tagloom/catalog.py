@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import buckets
+from tagloom.operators import normalize, validate
 from tagloom.plans import compiler
-from tagloom.sources import series
+from tagloom.sources import metadata, series, sinks
+from tagloom.streaming import evaluator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,7 +96,7 @@ def register(name: str, sql: str | None = None):
 
 def event_rows(step: int = HOUR, where: str = "true", start: int = E0, end: int = E1) -> str:
     """Events with the end of their interval."""
-    return f"SELECT *, CAST(ceil(epoch_ms(ts) / {step}.0) AS BIGINT) * {step} AS b, CAST(user_id AS VARCHAR) AS u FROM events WHERE epoch_ms(ts) > {start - step} AND epoch_ms(ts) <= {end - step} AND ({where})"
+    return f"SELECT *, CAST(ceil((epoch_us(ts) // 1000) / {step}.0) AS BIGINT) * {step} AS b, CAST(user_id AS VARCHAR) AS u FROM events WHERE (epoch_us(ts) // 1000) > {start - step} AND (epoch_us(ts) // 1000) <= {end - step} AND ({where})"
 
 
 def ctes(*parts: str) -> str:
@@ -175,7 +177,7 @@ _SIX = 6 * HOUR
 for _cf, _sql in (("avg", "sum(s) / 6"), ("sum", "sum(s)"), ("min", "sum(lo)"), ("max", "sum(hi)")):
     add(f"cf_{_cf}", f"{SUMS},:cf-{_cf}", f"WITH e AS ({event_rows(_SIX)}), p AS (SELECT event_type, u, b, sum(value) AS s, min(value) AS lo, max(value) AS hi FROM e GROUP BY ALL) SELECT event_type, b AS ts, round({_sql}, 6) AS value FROM p GROUP BY ALL", step=_SIX)
 add("cf_max_of_avg", "name,events,:eq,:max,(,event_type,),:by,:cf-avg", f"WITH e AS ({event_rows(_SIX)}), p AS (SELECT event_type, u, b, sum(value) / 6 AS s FROM e GROUP BY ALL) SELECT event_type, b AS ts, round(max(s), 6) AS value FROM p GROUP BY ALL", step=_SIX)
-add("cf_gauge", SUMS, f"WITH e AS (SELECT *, CAST(ceil(epoch_ms(ts) / {HOUR}.0) AS BIGINT) AS p FROM ({event_rows(_SIX)})) SELECT event_type, b AS ts, round(sum(value) / count(DISTINCT p), 6) AS value FROM e GROUP BY ALL", source=gauges, step=_SIX)
+add("cf_gauge", SUMS, f"WITH e AS (SELECT *, CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) AS p FROM ({event_rows(_SIX)})) SELECT event_type, b AS ts, round(sum(value) / count(DISTINCT p), 6) AS value FROM e GROUP BY ALL", source=gauges, step=_SIX)
 add("consolidate", f"{SUMS},max,6h,:consolidate", by_type() + typed(f"max(v) OVER (PARTITION BY event_type, ceil(ts / {_SIX}.0))"))
 
 # --- unary, clamps, generated lines ---
@@ -255,7 +257,7 @@ add("over_cg", "name,events,:eq,:sum,(,event_type,),:cg", by_type() + typed("v",
 add("named_avg", "name,events,:eq,:avg,(,event_type,),:by", by_type("avg(value)") + typed("v", "a"))
 add("named_stddev", f"{SUMS},:stddev", by_type() + "SELECT ts, round(sqrt((count(v) * sum(v * v) - sum(v) * sum(v)) / (count(v) * count(v))), 6) AS value FROM a GROUP BY ts HAVING (count(v) * sum(v * v) - sum(v) * sum(v)) >= 0")
 add("named_pct", f"{SUMS},:pct", by_type() + typed("v / sum(v) OVER (PARTITION BY ts) * 100", "a"))
-_STATS = ctes(f"o AS (SELECT o_orderstatus AS status, CAST(ceil(epoch_ms(o_orderdate) / {30 * DAY}.0) AS BIGINT) * {30 * DAY} AS ts, o_totalprice / 1000 AS v FROM orders)", f"r AS (SELECT * FROM o WHERE ts >= {-(-L0 // (30 * DAY)) * 30 * DAY} AND ts < {-(-L1 // (30 * DAY)) * 30 * DAY})")
+_STATS = ctes(f"o AS (SELECT o_orderstatus AS status, CAST(ceil((epoch_us(o_orderdate) // 1000) / {30 * DAY}.0) AS BIGINT) * {30 * DAY} AS ts, o_totalprice / 1000 AS v FROM orders)", f"r AS (SELECT * FROM o WHERE ts >= {-(-L0 // (30 * DAY)) * 30 * DAY} AND ts < {-(-L1 // (30 * DAY)) * 30 * DAY})")
 for _word, _sql in (("dist-avg", "sum(v) / count(*)"), ("dist-max", "max(v)"), ("dist-stddev", "sqrt((count(*) * sum(v * v) - sum(v) * sum(v)) / (count(*) * count(*)))")):
     add(f"named_{_word.replace('-', '_')}", f"name,price,:eq,:{_word},(,status,),:by", _STATS + f"SELECT status, ts, round({_sql}, 6) AS value FROM r GROUP BY ALL" + (" HAVING count(*) * sum(v * v) - sum(v) * sum(v) >= 0" if _word == "dist-stddev" else ""), source=statistics, step=30 * DAY, start=L0, end=L1)
 
@@ -318,10 +320,138 @@ for _rank, _dir in (("topk", "DESC"), ("bottomk", "ASC")):
 
 # --- other tables ---
 
-add("items_by_flag", "name,quantity,:eq,:sum,(,returnflag,linestatus,),:by", f"SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, CAST(ceil(epoch_ms(l_shipdate) / {DAY}.0) AS BIGINT) * {DAY} AS ts, round(sum(l_quantity), 6) AS value FROM lineitem WHERE epoch_ms(l_shipdate) > {L0 - DAY} AND epoch_ms(l_shipdate) <= {L1 - DAY} GROUP BY ALL", source=items, step=DAY, start=L0, end=L1)
+add("items_by_flag", "name,quantity,:eq,:sum,(,returnflag,linestatus,),:by", f"SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, CAST(ceil((epoch_us(l_shipdate) // 1000) / {DAY}.0) AS BIGINT) * {DAY} AS ts, round(sum(l_quantity), 6) AS value FROM lineitem WHERE (epoch_us(l_shipdate) // 1000) > {L0 - DAY} AND (epoch_us(l_shipdate) // 1000) <= {L1 - DAY} GROUP BY ALL", source=items, step=DAY, start=L0, end=L1)
 
 
 @register("style_legend_limit", by_type() + "SELECT 'type ' || event_type AS label, ts, round(v, 6) AS value FROM a WHERE event_type IN (SELECT event_type FROM a GROUP BY event_type ORDER BY sum(v) DESC, event_type LIMIT 2)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compiler.evaluate(spark, events(spark, sf_dir), f"{SUMS},type $event_type,:legend,total,:sort,desc,:order,2,:limit", E0, E1)
     return out.select("label", "ts", F.round("value", 6).alias("value"))
+
+
+# --- metadata ---
+
+
+@register("meta_keys", "SELECT unnest(['name', 'event_type', 'user_id']) AS key")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.tag_keys(events(spark, sf_dir))
+
+
+@register("meta_values", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events WHERE event_type = 'click' AND CAST(user_id AS VARCHAR) > '2' ORDER BY value LIMIT 20")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.tag_values(events(spark, sf_dir), "user_id", "event_type,click,:eq", offset="2", limit=20)
+
+
+@register("meta_tags", "WITH s AS (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS u FROM events) SELECT 'event_type' AS key, event_type AS value, count(*) AS series FROM s GROUP BY event_type UNION ALL SELECT 'user_id', u, count(*) FROM s GROUP BY u UNION ALL SELECT 'name', 'events', count(*) FROM s")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.tags(events(spark, sf_dir))
+
+
+# --- ingest ---
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw samples of one line for each user and type, at most one for each millisecond."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df.groupBy(F.col("user_id").cast("string").alias("u"), "event_type", series.millis("ts").alias("ts")).agg(F.sum("value").alias("value"))
+
+
+_RAW = "s AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type, (epoch_us(ts) // 1000) AS ts, sum(value) AS value FROM events GROUP BY ALL)"
+_LAG = "w AS (SELECT *, lag(value) OVER (PARTITION BY u, event_type ORDER BY ts) AS pv, lag(ts) OVER (PARTITION BY u, event_type ORDER BY ts) AS pt FROM s)"
+
+
+@register("ingest_counter_rate", ctes(_RAW, _LAG) + "SELECT u, event_type, ts, round(CASE WHEN value < pv OR ts <= pt THEN 0 ELSE (value - pv) / ((ts - pt) / 1000.0) END, 6) AS value FROM w WHERE pt IS NOT NULL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(normalize.counter_to_rate(_samples(spark, sf_dir), ["u", "event_type"]))
+
+
+_BEAT = 2 * DAY
+
+
+@register(
+    "ingest_regrid",
+    ctes(_RAW, _LAG, f"f AS (SELECT u, event_type, ts, value, CASE WHEN pt IS NULL OR ts - pt > {_BEAT} THEN CASE WHEN ts % {DAY} = 0 THEN ts - {DAY} ELSE ts // {DAY} * {DAY} END ELSE pt END AS f FROM w)", f"c AS (SELECT *, unnest(range((f // {DAY} + 1) * {DAY}, CAST(ceil(ts / {DAY}.0) AS BIGINT) * {DAY} + 1, {DAY})) AS b FROM f WHERE ts > f)")
+    + f"SELECT u, event_type, b AS ts, round(sum(value * (least(ts, b) - greatest(f, b - {DAY})) / {DAY}.0), 6) AS value FROM c GROUP BY ALL",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(normalize.regrid(_samples(spark, sf_dir), ["u", "event_type"], DAY, _BEAT))
+
+
+for _how in ("sum", "max"):
+    QUERIES[f"ingest_rolling_{_how}"] = lambda spark, sf_dir, how=_how: rounded(normalize.rolling(_samples(spark, sf_dir), ["u", "event_type"], HOUR, how))
+    ORACLE_SQL[f"ingest_rolling_{_how}"] = ctes(_RAW) + f"SELECT u, event_type, CAST(ceil(ts / {HOUR}.0) AS BIGINT) * {HOUR} AS ts, round({_how}(value), 6) AS value FROM s GROUP BY ALL"
+
+
+@register("ingest_last_write", f"SELECT event_type, CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) * {HOUR} AS ts, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY ALL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", series.millis("ts"))
+    return rounded(normalize.last_write(df, ["event_type"], HOUR, "event_id"))
+
+
+@register("ingest_rollup", f"SELECT '{{\"event_type\":\"' || event_type || '\"}}' AS tags, CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) * {HOUR} AS ts, round(sum(value), 6) AS \"sum\", count(*) AS \"count\", min(value) AS \"min\", max(value) AS \"max\" FROM events GROUP BY ALL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = events(spark, sf_dir)
+    points = s.df.select(s.tags_column().alias("tags"), normalize.step_end(s.ts, HOUR).alias("ts"), "value")
+    out = normalize.rollup(points, ["event_type"])
+    return out.select(F.to_json("tags").alias("tags"), "ts", F.round("sum", 6).alias("sum"), "count", "min", "max")
+
+
+@register("ingest_validation", "SELECT p_partkey, CASE WHEN length(p_name) NOT BETWEEN 2 AND 20 THEN 'name-value-length' WHEN NOT regexp_full_match(p_type, '[-._A-Za-z0-9^~]*') OR NOT regexp_full_match(p_brand, '[-._A-Za-z0-9^~]*') OR NOT regexp_full_match(p_name, '[-._A-Za-z0-9^~]*') THEN 'valid-characters' WHEN p_size % 2 = 1 THEN 'reserved-key:sys.' END AS failed FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tags = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
+    tags = F.when(F.col("p_size") % 2 == 1, F.map_concat(tags, F.create_map(F.lit("sys.size"), F.lit("1")))).otherwise(tags)
+    rules = [validate.has_key(), validate.key_length(), validate.name_value_length((2, 20)), validate.valid_characters(), validate.max_user_tags(), validate.reserved_key()]
+    return validate.validated(df.select("p_partkey", tags.alias("tags")), rules).select("p_partkey", "failed")
+
+
+# --- events ---
+
+
+@register("event_raw", "SELECT event_id, event_type FROM events WHERE event_type = 'click'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluator.event_query(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type,click,:eq").select("event_id", "event_type")
+
+
+@register("event_table", "SELECT user_id, value FROM events WHERE event_type = 'click'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluator.event_query(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type,click,:eq,(,user_id,value,),:table")
+
+
+@register("event_sample", f"SELECT CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) * {HOUR} AS step_end, event_type, count(*) AS \"count\" FROM events WHERE user_id < 50 GROUP BY ALL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sampled = evaluator.event_query(df.where("user_id < 50"), ":true,(,event_type,),(,user_id,value,),:sample", step=HOUR)
+    return sampled.where("sample.value IS NOT NULL").select("step_end", "event_type", "count")
+
+
+@register("event_typed_filter", "SELECT event_id FROM events WHERE value > 40 AND user_id <= 30")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return evaluator.typed_filter(evaluator.typed_filter(df, "value", "gt", 40.0), "user_id", "le", 30).select("event_id")
+
+
+@register("event_datapoints", f"WITH e AS (SELECT ((epoch_us(ts) // 1000) // {HOUR} + 1) * {HOUR} AS b, * FROM events) SELECT 'event_type,click,:eq,:sum' AS query, '{{}}' AS keys, b AS ts, round(sum(value) FILTER (value >= 0) / 3600, 6) AS value, count(*) AS samples FROM e WHERE event_type = 'click' GROUP BY b UNION ALL SELECT ':true,:count,(,event_type,),:by', '{{\"event_type\":\"' || event_type || '\"}}', b, round(count(*) / 3600.0, 6), count(*) FROM e GROUP BY event_type, b")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rounded(evaluator.partial_aggregates(df, {"a": "event_type,click,:eq,:sum", "b": ":true,:count,(,event_type,),:by"}, HOUR))
+
+
+# --- sinks ---
+
+
+@register("sink_statistics", by_type() + "SELECT event_type AS label, count(v) AS \"count\", round(avg(v), 6) AS \"avg\", round(min(v), 6) AS \"min\", round(max(v), 6) AS \"max\", round(arg_max(v, ts), 6) AS \"last\", round(sum(v), 6) AS total FROM a GROUP BY event_type")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sinks.statistics(compiler.evaluate(spark, events(spark, sf_dir), f"{SUMS},$event_type,:legend", E0, E1))
+    return out.select("label", "count", *[F.round(c, 6).alias(c) for c in ("avg", "min", "max", "last", "total")])
+
+
+@register("sink_pivot", by_type() + "SELECT ts, round(max(v) FILTER (event_type = 'click'), 6) AS click, round(max(v) FILTER (event_type = 'view'), 6) AS \"view\" FROM a WHERE event_type IN ('click', 'view') GROUP BY ts")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compiler.evaluate(spark, events(spark, sf_dir), f"{SUMS},event_type,(,click,view,),:in,:cq,$event_type,:legend", E0, E1)
+    return sinks.pivoted(out.withColumn("value", F.round("value", 6)), ["click", "view"])
+
+
+@register("sink_heatmap", by_type() + "SELECT ts, CAST(least(floor(v / 25), 19) AS INTEGER) AS cell, count(*) AS \"count\" FROM a WHERE v BETWEEN 0 AND 500 GROUP BY ALL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.heatmap(compiler.evaluate(spark, events(spark, sf_dir), SUMS, E0, E1), 0.0, 500.0, 20)
