@@ -288,7 +288,7 @@ _PLAIN: dict[str, Callable[..., Any]] = {
     ">=": lambda a, b: a >= b,
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,
-    "%": lambda a, b: a % b if isinstance(a, int) else _text(None),
+    "%": lambda a, b: int(a) % int(b),
     "~": lambda a, b: _text(a) + _text(b),
     "not": lambda a: not a,
     "and": lambda a, b: a and b,
@@ -296,6 +296,19 @@ _PLAIN: dict[str, Callable[..., Any]] = {
 } | {"filter:" + k: f for k, f in FILTERS.items()}
 
 
+def _guarded(f: Callable[..., Any]) -> Callable[..., Any]:
+    def call(*args: Any) -> Any:
+        try:
+            return f(*args)
+        except (TypeError, ValueError, ZeroDivisionError) as e:
+            raise TemplateError(str(e)) from None
+
+    return call
+
+
+_PLAIN = {k: f if k in ("==", "!=", "~", "not", "and", "or", "filter:escape") else _guarded(f) for k, f in _PLAIN.items()}
+
+
 def fold(node: Any) -> Any:
     """The tree with constant expressions computed, dead arms dropped and neighbouring texts joined."""
     if isinstance(node, Op):
