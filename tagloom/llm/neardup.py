@@ -209,12 +209,15 @@ def _left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch:
     often = flat.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
     ranked = flat.join(often, "t").groupBy("_set", "id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t", (F.col("_lo") != F.col("_hi")).alias("mixed")))).alias("_ts"))
     n_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100 - 1e-9) + 1
-    prefix = ranked.select("id", "comp", F.explode(F.slice("_ts", 1, n_prefix.cast("int"))).alias("_t")).where("_t.mixed").select("id", "comp", F.col("_t.t").alias("t")).distinct()
+    prefix = ranked.select("id", "comp", "n", F.posexplode(F.slice("_ts", 1, n_prefix.cast("int"))).alias("pos", "_t")).where("_t.mixed").select("id", "comp", "n", "pos", F.col("_t.t").alias("t")).distinct()
     prefix = scratch.table(prefix, "prefix")
     # members of a shingle's most frequent component meet the others, not one another
     main = prefix.groupBy("t", "comp").count().groupBy("t").agg(F.max(F.struct("count", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("t", F.col("_m.comp").alias("main"))
-    others = prefix.join(main, "t").where("comp <> main").select("t", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    met = others.join(prefix.select("t", F.col("id").alias("y"), F.col("comp").alias("cy")), "t").where("cx <> cy")
+    side = lambda df, x: df.select("t", F.col("id").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
+    others = side(prefix.join(main, "t").where("comp <> main"), "x")
+    # length filter, and positional filter: at the first shared shingle so many can be shared from there on
+    close = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * PERCENT) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + PERCENT) >= (F.col("nx") + F.col("ny")) * PERCENT)
+    met = others.join(side(prefix, "y"), "t").where((F.col("cx") != F.col("cy")) & close)
     return scratch.table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest-pairs")
 
 
