@@ -370,8 +370,15 @@ _BEAT = 2 * DAY
 
 @register(
     "ingest_regrid",
-    ctes(_RAW, _LAG, f"f AS (SELECT u, event_type, ts, value, CASE WHEN pt IS NULL OR ts - pt > {_BEAT} THEN CASE WHEN ts % {DAY} = 0 THEN ts - {DAY} ELSE ts // {DAY} * {DAY} END ELSE pt END AS f FROM w)", f"c AS (SELECT *, unnest(range((f // {DAY} + 1) * {DAY}, CAST(ceil(ts / {DAY}.0) AS BIGINT) * {DAY} + 1, {DAY})) AS b FROM f WHERE ts > f)")
-    + f"SELECT u, event_type, b AS ts, round(sum(value * (least(ts, b) - greatest(f, b - {DAY})) / {DAY}.0), 6) AS value FROM c GROUP BY ALL",
+    ctes(
+        _RAW,
+        _LAG,
+        f"f AS (SELECT u, event_type, ts, value, pt IS NULL OR ts - pt > {_BEAT} AS fresh, ts // {DAY} * {DAY} AS fl, CASE WHEN pt IS NULL OR ts - pt > {_BEAT} THEN CASE WHEN ts % {DAY} = 0 THEN ts - {DAY} ELSE ts // {DAY} * {DAY} END ELSE pt END AS f FROM w)",
+        "r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY u, event_type ORDER BY ts) AS run FROM f)",
+        "x AS (SELECT *, max(ts) OVER (PARTITION BY u, event_type, run) AS lt FROM r)",
+        f"c AS (SELECT *, unnest(range((f // {DAY} + 1) * {DAY}, CAST(ceil(ts / {DAY}.0) AS BIGINT) * {DAY} + 1, {DAY})) AS b FROM x WHERE ts > f)",
+    )
+    + f"SELECT u, event_type, ts, round(value, 6) AS value FROM (SELECT u, event_type, run, b AS ts, sum(value * (least(ts, b) - greatest(f, b - {DAY})) / {DAY}.0) AS value FROM c WHERE b <= lt GROUP BY ALL UNION ALL SELECT u, event_type, run, fl, value * ({DAY} - (ts - fl)) / {DAY}.0 FROM x WHERE fresh AND ts > fl)",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(normalize.regrid(_samples(spark, sf_dir), ["u", "event_type"], DAY, _BEAT))

@@ -34,23 +34,27 @@ def regrid(df: DataFrame, ids: list[str], step: int, heartbeat: int) -> DataFram
     """Time-weighted points on step boundaries.
 
     A sample stands for the time since the one before it, if that is within the
-    heartbeat; each boundary's value is the sum of what overlaps its interval, by share.
-    The first sample of a series, or the first after a gap, on a boundary is that
-    boundary's value; off a boundary it counts for the interval it lies in, with the
-    share of the interval before it. Gaps within the heartbeat are filled.
+    heartbeat; a boundary's value is the sum of what overlaps its interval, by share, and
+    is emitted once a sample at or after the boundary is there. The first sample of a
+    line, or the first after a gap, on a boundary is that boundary's value; off a
+    boundary it gives the boundary before it the share of the step that is left, and
+    counts from that boundary on. Samples that repeat a time are ignored.
     """
     w = Window.partitionBy(*ids).orderBy("ts")
     prev = F.lag("ts").over(w)
     fresh = F.coalesce(F.col("ts") - prev > heartbeat, F.lit(True))
-    floor = F.floor(F.col("ts") / step) * step
-    spans = df.select(*ids, "ts", "value", F.when(fresh, F.when(F.col("ts") == floor, F.col("ts") - step).otherwise(floor)).otherwise(prev).cast("long").alias("_from"))
+    floor = (F.floor(F.col("ts") / step) * step).cast("long")
+    spans = df.select(*ids, "ts", "value", fresh.alias("_fresh"), floor.alias("_floor"), F.when(fresh, F.when(F.col("ts") == floor, F.col("ts") - step).otherwise(floor)).otherwise(prev).cast("long").alias("_from"))
+    # what lies between gaps; its last interval stays open
+    spans = spans.withColumn("_run", F.sum(F.col("_fresh").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("_last", F.max("ts").over(Window.partitionBy(*ids, "_run")))
     first, last = step_end(F.col("_from") + 1, step), step_end(F.col("ts"), step)
     # a sample spans a few intervals at most, as the heartbeat bounds it
-    cells = spans.where("ts > _from").select(*ids, "ts", "value", "_from", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("_end"))
+    cells = spans.where("ts > _from").select(*ids, "_run", "_last", "ts", "value", "_from", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("_end"))
     overlap = F.least("ts", "_end") - F.greatest("_from", F.col("_end") - step)
-    # an interval that has not ended yet is not emitted before a later sample closes it
-    done = cells.groupBy(*ids, F.col("_end").alias("ts")).agg(F.sum(F.col("value") * overlap / step).alias("value"))
-    return done
+    done = cells.where("_end <= _last").groupBy(*ids, "_run", F.col("_end").alias("ts")).agg(F.sum(F.col("value") * overlap / step).alias("value")).drop("_run")
+    begun = spans.where(F.col("_fresh") & (F.col("ts") > F.col("_floor"))).select(*ids, F.col("_floor").alias("ts"), (F.col("value") * (F.lit(step) - (F.col("ts") - F.col("_floor"))) / step).alias("value"))
+    return done.unionByName(begun)
 
 
 def rolling(df: DataFrame, ids: list[str], step: int, how: str) -> DataFrame:

@@ -36,29 +36,27 @@ class Smoother:
 
 
 class SlidingSmoother:
-    """Two smoothers that start over in turn, so that the past fades out after 2 * training values."""
+    """Two smoothers that both see all values; every `training` values the one in use starts over and the other takes its turn."""
 
     def __init__(self, training: int, alpha: float, beta: float):
         self.make = lambda: Smoother(training, alpha, beta)
         self.training, self.at = training, 0
-        self.first, self.second = self.make(), None
+        self.used, self.other = self.make(), self.make()
 
     def next(self, v: float) -> float:
-        if self.at and self.at % self.training == 0:
-            if self.second is not None:
-                self.first = self.second
-            self.second = self.make()
+        out = self.used.next(v)
+        self.other.next(v)
         self.at += 1
-        a = self.first.next(v)
-        if self.second is not None:
-            self.second.next(v)
-        return a
+        if self.at % self.training == 0:
+            self.used, self.other = self.other, self.make()
+        return out
 
 
 def smooth_values(values: np.ndarray, op: str, args: tuple, skip: int = 0) -> np.ndarray:
     """Predictions for evenly spaced values; the first `skip` are taken as missing."""
     s = (Smoother if op == "des" else SlidingSmoother)(*args)
-    return np.array([s.next(np.nan) if k < skip else s.next(v) for k, v in enumerate(values)]) if op == "des" else np.concatenate([np.full(min(skip, len(values)), np.nan), [s.next(v) for v in values[skip:]]])
+    skip = min(skip, len(values))
+    return np.concatenate([np.full(skip, np.nan), [s.next(v) for v in values[skip:]]])
 
 
 def smooth(df: DataFrame, ids: list[str], column: str, op: str, args: tuple, start: int, step: int) -> DataFrame:

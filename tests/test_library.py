@@ -82,8 +82,12 @@ def test_online_equals_window(spark):
 def test_sliding_smoother_ignores_range_start():
     v = np.sin(np.arange(200.0))
     whole = smoothing.smooth_values(v, "sdes", (10, 0.1, 0.5))
-    later = smoothing.smooth_values(v[3:], "sdes", (10, 0.1, 0.5), skip=7)
-    assert np.allclose(whole[40:], later[37:], equal_nan=True)
+    assert np.isnan(whole[:10]).all() and not np.isnan(whole[10:]).any()
+    for shift in (10, 20):  # after two turns the past is forgotten
+        later = smoothing.smooth_values(v[3:], "sdes", (10, 0.1, 0.5), skip=shift - 3)
+        even = smoothing.smooth_values(v[shift:], "sdes", (10, 0.1, 0.5))
+        assert np.allclose(later[shift - 3 :], even, equal_nan=True)
+    assert np.allclose(whole[40:], smoothing.smooth_values(v[20:], "sdes", (10, 0.1, 0.5))[20:])
 
 
 def test_normalize(spark):
@@ -93,8 +97,10 @@ def test_normalize(spark):
     assert got([("sum", 5, 1.0), ("sum", 8, 3.0), ("sum", 10, None)], 10) == {("sum", 10): 4.0}
     rate = normalize.counter_to_rate(spark.createDataFrame([("a", 0, 0.0), ("a", 10_000, 50.0), ("a", 20_000, 10.0)], "id string, ts long, value double"), ["id"]).orderBy("ts").collect()
     assert [(r.ts, r.value) for r in rate] == [(10_000, 5.0), (20_000, 0.0)]
-    regrid = normalize.regrid(spark.createDataFrame([("a", 5, 1.0), ("a", 15, 2.0), ("a", 25, 2.0)], "id string, ts long, value double"), ["id"], 10, 20).orderBy("ts").collect()
-    assert [(r.ts, r.value) for r in regrid] == [(10, 1.5), (20, 2.0), (30, 1.0)]
+    regrid = lambda rows: sorted((r.ts, r.value) for r in normalize.regrid(spark.createDataFrame([("a", t, v) for t, v in rows], "id string, ts long, value double"), ["id"], 10, 20).collect())
+    assert regrid([(5, 1.0), (15, 2.0), (25, 2.0), (35, 1.0), (85, 1.0), (95, 2.0), (105, 2.0)]) == [(0, 0.5), (10, 1.5), (20, 2.0), (30, 1.5), (80, 0.5), (90, 1.5), (100, 2.0)]
+    assert regrid([(0, 1.0), (10, 2.0), (20, 3.0), (30, 1.0)]) == [(0, 1.0), (10, 2.0), (20, 3.0), (30, 1.0)]
+    assert regrid([(0, 1.0), (10, 2.0), (30, 1.0), (60, 4.0), (70, 2.0)]) == [(0, 1.0), (10, 2.0), (20, 1.0), (30, 1.0), (60, 4.0), (70, 2.0)]
 
 
 def test_validate(spark):
