@@ -80,3 +80,27 @@ def line_order(df: DataFrame, mode: str = "legend", order: str = "asc") -> DataF
     by = F.col("_stat").desc_nulls_last() if order == "desc" else F.col("_stat").asc_nulls_last()
     ranked = stats.select("expr", "label", F.row_number().over(Window.partitionBy("expr").orderBy(by, "label")).alias("rank"))
     return df.join(ranked, ["expr", "label"])
+
+
+def short_legends(styles: list[n.Style]) -> list[n.Style]:
+    """Styles with a short legend where they have none: the grouping tags' values, else what tells the expressions apart."""
+    fixed = []
+    for s in styles:
+        tags: dict[str, str] = {}
+        for d in n.data_exprs(s.expr):
+            tags |= n.exact_keys((d.aggregate if isinstance(d, n.GroupBy) else d).query)
+        fixed.append(tags)
+    shared = set.intersection(*(set(t.items()) for t in fixed)) if fixed else set()
+    out = []
+    for s, tags in zip(styles, fixed, strict=True):
+        keys = n.group_keys(s.expr)
+        own = [v for k, v in sorted(tags.items()) if (k, v) not in shared]
+        if s.get("legend") is not None:
+            out.append(s)
+        elif keys:
+            out.append(s.put("legend", " ".join(f"$({k})" for k in keys)))
+        elif own or tags:
+            out.append(s.put("legend", " ".join(own) or tags.get("name") or " ".join(tags.values())))
+        else:
+            out.append(s)
+    return out

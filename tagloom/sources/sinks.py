@@ -45,3 +45,18 @@ def append_points(points: DataFrame, path: str, partition_ms: int = 86_400_000)
 def write_jdbc(points: DataFrame, url: str, table: str, **options: str) -> None:
     """Bulk load over JDBC; the tags go as JSON."""
     points.withColumn("tags", F.to_json("tags")).write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("append").save()
+
+
+def fetch_messages(lines: DataFrame, start: int, step: int, end: int) -> DataFrame:
+    """Messages of a fetch, one JSON document a row: a metadata message, one for each line with a value, and a close message."""
+    spark = lines.sparkSession
+    message = lambda order, kind: spark.range(1).select(F.lit(order).alias("order"), F.to_json(F.struct(F.lit(kind).alias("type"), F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(step).alias("step"))).alias("json"))
+    data = series_json(lines.where(F.col("value").isNotNull()), start, step, end).select(F.lit(1).alias("order"), "json")
+    return message(0, "metadata").unionByName(data).unionByName(message(2, "close"))
+
+
+def sharded(points: DataFrame, shards: int) -> DataFrame:
+    """Points with the shard that their line belongs to, and dealt out by it."""
+    from tagloom.sources.series import series_id
+
+    return points.withColumn("shard", F.pmod(F.xxhash64(series_id(F.col("tags"))), F.lit(shards)).cast("int")).repartition(shards, "shard")

@@ -159,6 +159,18 @@ def test_services():
     assert (r.end - r.start, r.step, str(r.program[0].expr)) == (3 * 3_600_000, 300_000, "name,a,:eq,b,2,:eq,:and,:sum")
 
 
+def test_messages_and_legends(spark):
+    from tagloom.operators.presentation import short_legends
+
+    s = series.datapoints(readers.constants(spark, STEP, 0, 3 * STEP, 3), STEP)
+    out = sinks.fetch_messages(evaluate(spark, s, ":true,:sum,(,name,),:by", 0, 3 * STEP), 0, STEP, 3 * STEP).orderBy("order").collect()
+    assert [json.loads(r.json).get("type") for r in out] == ["metadata", None, None, None, "close"]
+    legend = lambda p: [x.get("legend") for x in short_legends(words.parse(p))]
+    assert legend("name,a,:eq,app,x,:eq,:and,name,a,:eq,app,y,:eq,:and") == ["x", "y"]
+    assert legend("name,a,:eq,(,k,),:by") == ["$(k)"]
+    assert sinks.sharded(s.df, 4).select("shard").distinct().count() <= 4
+
+
 def test_custom_words(spark):
     interpreter = words.new_interpreter()
     interpreter.register("twice", "2,:mul")
