@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import arrow_map, texts_of
@@ -207,7 +207,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, l2: float = 1e-
     return Field(mean, scale, w, trans, float(np.clip(slope, 0.05, 20)), float(np.clip(offset, -20, 20)))
 
 
-def held_out(id_col: str) -> F.Column:
+def held_out(id_col: str) -> Column:
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
