@@ -9,7 +9,6 @@ scans one block.
 from __future__ import annotations
 
 import bisect
-import math
 import os
 import re
 import struct
