@@ -102,9 +102,12 @@ def features(payload: bytes) -> str:
     return f"mean={mean};power={int((centred * centred).sum()) // len(x)};crossings={int(np.count_nonzero(np.diff(centred >= 0)))}"
 
 
-def train_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
-    """A compression dictionary from a bounded sample, the texts of the smallest hashes; empty if there is too little text."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("_h"), F.substring(text_col, 1, DICTIONARY_CHARS).alias("_t")).orderBy("_h").limit(DICTIONARY_TEXTS).collect()
+def train_dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """A compression dictionary from a bounded sample of about DICTIONARY_TEXTS texts; empty if there is too little text."""
+    share = min(1.0, DICTIONARY_TEXTS / max(1, docs.count()))
+    # by a hash of the whole row, so that copies don't come together; the limit bounds what repeated rows could add
+    picked = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30))))
+    rows = picked.select(F.substring(text_col, 1, DICTIONARY_CHARS).alias("_t")).limit(2 * DICTIONARY_TEXTS).collect()
     samples = [c for r in rows for c in _pieces(payload_of(r._t)[0])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -155,16 +158,14 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
-    """(key, pos, data) ordered by key and pos -> one row for each key; holds one payload at a time."""
+    """(pid, pos, data) ordered by pid and pos -> one row for each pid; holds one payload at a time."""
     key, parts = None, []
     unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
     def done() -> tuple:
         media = stored_form(parts)
         payload = b"".join(chunks_of(media))
-        if hashlib.sha256(payload).digest() != key:
-            raise ValueError("a payload differs from what was stored")
-        return key, len(payload), key.hex(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)
+        return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)
 
     for b in batches:
         rows = []
@@ -181,7 +182,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[p
         yield _rows([done()])
 
 
-_BUILT = pa.schema([("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_BUILT = pa.schema([("pid", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -202,7 +203,7 @@ def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     """Write recipes, chunks and dictionary."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    dictionary = train_dictionary(docs, text_col)
+    dictionary = train_dictionary(docs, id_col, text_col)
     scratch.table(spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "dictionary")
     recipes = scratch.table(arrow_map(docs.select(docs[id_col], docs[text_col]), _recipes, f"doc_id {kind}, n_bytes long, key binary, chunks array<binary>"), "recipes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -217,19 +218,24 @@ def rebuild(kept: Store, scratch: Scratch) -> DataFrame:
     """Read each distinct payload back from the store: key, sizes, digests and features of the stored form."""
     spark = kept.recipes.sparkSession
     chunks = spark.table(kept.table)
-    wanted = kept.recipes.select("key", "chunks").dropDuplicates(["key"]).select("key", F.posexplode("chunks").alias("pos", "digest"))
+    # a short number stands for the key where chunks are shuffled
+    payloads = scratch.table(kept.recipes.select("key", "chunks").dropDuplicates(["key"]).withColumn("pid", F.monotonically_increasing_id()), "payloads")
+    wanted = payloads.select("pid", F.posexplode("chunks").alias("pos", "digest"))
     hot = scratch.table(wanted.groupBy("digest").count().where(F.col("count") >= HOT_REFERENCES).select("digest"), "hot")
     if hot.isEmpty():
-        parts = wanted.join(chunks, "digest").select("key", "pos", "data")
+        parts = wanted.join(chunks, "digest").select("pid", "pos", "data")
     else:
-        parts = wanted.join(hot, "digest", "left_anti").join(chunks, "digest").select("key", "pos", "data")
-        salted = wanted.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        parts = wanted.join(hot, "digest", "left_anti").join(chunks, "digest").select("pid", "pos", "data")
+        salted = wanted.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int"))
         copies = chunks.join(hot, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        parts = parts.unionByName(salted.join(copies, ["digest", "salt"]).select("key", "pos", "data"))
+        parts = parts.unionByName(salted.join(copies, ["digest", "salt"]).select("pid", "pos", "data"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = parts.repartition(n, "key").sortWithinPartitions("key", "pos")
+    ordered = parts.repartition(n, "pid").sortWithinPartitions("pid", "pos")
     dictionary = kept.dictionary
-    return arrow_map(ordered, lambda batches: _rebuild(batches, dictionary), "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    built = arrow_map(ordered, lambda batches: _rebuild(batches, dictionary), "pid long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    both = payloads.select("pid", "key").join(built, "pid", "left")
+    same = F.coalesce(F.lower(F.hex("key")) == F.col("payload_sha256"), F.lit(False))
+    return both.withColumn("payload_sha256", F.when(same, F.col("payload_sha256")).otherwise(F.raise_error(F.lit("a payload differs from what was stored")))).drop("pid")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
