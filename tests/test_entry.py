@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck(sf_dir):
 
 def _rows(frame, names):
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return v if isinstance(v, (str, bool)) else round(float(v), 5)
 
