@@ -165,9 +165,7 @@ add("data_offset", f"{SUMS},1d,:offset", f"WITH e AS ({event_rows(start=E0 - DAY
 
 @register("data_all", f"WITH e AS ({event_rows(where='user_id < 20')}) SELECT '{{\"event_type\":\"' || event_type || '\",\"name\":\"events\",\"user_id\":\"' || u || '\"}}' AS tags, b AS ts, round(sum(value), 6) AS value FROM e GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = events(spark, sf_dir)
-    s.df = s.df.where("user_id < 20")
-    out = compiler.evaluate(spark, s, "name,events,:eq,:all", E0, E1)
+    out = compiler.evaluate(spark, events(spark, sf_dir), "name,events,:eq,:all", E0, E1)
     return out.select(F.to_json("tags").alias("tags"), "ts", F.round("value", 6).alias("value"))
 
 

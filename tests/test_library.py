@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom import catalog
 from tagloom.functions import buckets, dates
 from tagloom.lang import services, words
 from tagloom.operators import columns, normalize, smoothing, validate
@@ -251,3 +252,21 @@ def test_time_grouped(spark):
     assert [r.value for r in evaluator.time_grouped(df, STEP, now=now).collect()] == [4.0]
     assert [r.value for r in evaluator.time_grouped(df, STEP, replica="replica", now=now).collect()] == [3.0]
     assert evaluator.time_grouped(df, STEP, max_input=2, now=now).count() == 0
+
+
+# --- registered queries over whole tables ---
+
+
+def _wide_events(spark, folder):
+    """Events of users with small and large ids; rows as (hour, user_id, event_type, value)."""
+    data = [(h, u, kind, float(u % 97 + h)) for h in (1, 2) for u in (3, 19, 20, 49, 50, 1499, 70_000) for kind in ("click", "view")]
+    stamp = F.timestamp_millis(F.lit(catalog.E0) + F.col("hour") * catalog.HOUR).cast("timestamp_ntz").alias("ts")
+    df = spark.createDataFrame(data, "hour long, user_id long, event_type string, value double")
+    df.select(F.monotonically_increasing_id().alias("event_id"), stamp, "user_id", "event_type", "value").write.parquet(f"{folder}/events.parquet")
+    return data
+
+
+def test_data_all_reads_every_user(spark, tmp_path):
+    data = _wide_events(spark, tmp_path)
+    got = {(x.tags, x.ts): x.value for x in catalog.QUERIES["data_all"](spark, str(tmp_path)).collect()}
+    assert got == {(json.dumps({"event_type": kind, "name": "events", "user_id": str(u)}, separators=(",", ":")), catalog.E0 + h * catalog.HOUR): v for h, u, kind, v in data}
