@@ -426,7 +426,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("event_sample", f"SELECT CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) * {HOUR} AS step_end, event_type, count(*) AS \"count\" FROM events WHERE user_id < 50 GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    sampled = evaluator.event_query(df.where("user_id < 50"), ":true,(,event_type,),(,user_id,value,),:sample", step=HOUR)
+    sampled = evaluator.event_query(df, ":true,(,event_type,),(,user_id,value,),:sample", step=HOUR)
     return sampled.where("sample.value IS NOT NULL").select("step_end", "event_type", "count")
 
 

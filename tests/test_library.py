@@ -270,3 +270,9 @@ def test_data_all_reads_every_user(spark, tmp_path):
     data = _wide_events(spark, tmp_path)
     got = {(x.tags, x.ts): x.value for x in catalog.QUERIES["data_all"](spark, str(tmp_path)).collect()}
     assert got == {(json.dumps({"event_type": kind, "name": "events", "user_id": str(u)}, separators=(",", ":")), catalog.E0 + h * catalog.HOUR): v for h, u, kind, v in data}
+
+
+def test_event_sample_counts_every_user(spark, tmp_path):
+    data = _wide_events(spark, tmp_path)
+    got = {(x.step_end, x.event_type): x["count"] for x in catalog.QUERIES["event_sample"](spark, str(tmp_path)).collect()}
+    assert got == {(catalog.E0 + h * catalog.HOUR, kind): sum(a == h and c == kind for a, _, c, _ in data) for h, _, kind, _ in data}
