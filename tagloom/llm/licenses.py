@@ -1,6 +1,7 @@
 """License scans: phrase places and an exact set-similarity join of text blocks with templates.
 
-Blocks are lines. The tokens of the templates are ordered by their frequency in the
+Blocks are lines, and, as notices are wrapped over lines, the words on both sides of
+each line break, for each template as many as it can have there. The tokens of the templates are ordered by their frequency in the
 whole corpus, rarest first. A block that holds at least the share THRESHOLD of a
 template's tokens must hold one of the template's first n - ceil(THRESHOLD * n) + 1
 tokens in that order (prefix filter), must have ceil(THRESHOLD * n) tokens at least
@@ -38,7 +39,10 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.8
+#: Words that a wording has on one side of a line break at most, when it has one on the other.
+AROUND = tuple(len(text.replace(".", " ").split()) - 1 for _, text in TEMPLATES)
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAPS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,6 +71,21 @@ def _places(spaced: Column, phrase: str) -> Column:
     return F.when(F.instr(spaced, found) > 0, sums["out"]).otherwise(F.array().cast("array<int>"))
 
 
+def _around_breaks(texts: DataFrame, own: Column, least_words: int) -> DataFrame:
+    """(_row, _around, _words) for each line break of (_row, _text): template words among _around words before and after it, also across further breaks."""
+    # a word before a break ends with a line feed; empty lines make no break of their own
+    marked = F.regexp_replace(F.regexp_replace(F.translate("_text", _UPPER, _LOWER), _GAPS_IN_LINE, " "), r" *\n[ \n]*", "\n ")
+    cut = texts.select("_row", F.split(marked, " ").alias("_all"))
+    breaks = F.filter(F.sequence(F.lit(1), F.size("_all")), lambda i: F.endswith(F.element_at("_all", i), F.lit("\n")))
+    far = max(AROUND)
+    near = lambda ws, i, n: F.slice(ws, F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n)) + n)
+    plain = lambda ws: F.transform(ws, lambda w: F.rtrim(w, F.lit("\n")))
+    wide = cut.select("_row", F.explode(F.transform(breaks, lambda i: F.struct(F.least(i, F.lit(far)).alias("at"), plain(near("_all", i, far)).alias("ws")))).alias("_b"))
+    wide = wide.where(F.size(F.array_intersect("_b.ws", own)) >= least_words)
+    each = F.array(*[F.struct(F.lit(n).alias("n"), F.array_intersect(near(F.col("_b.ws"), F.col("_b.at"), n), own).alias("ws")) for n in sorted(set(AROUND))])
+    return wide.select("_row", F.explode(each).alias("_e")).select("_row", F.col("_e.n").alias("_around"), F.col("_e.ws").alias("_words"))
+
+
 def _template_rows() -> list[tuple[int, str, list[str]]]:
     import re
 
@@ -83,7 +102,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null text counts as empty; repeated rows are repeated; other columns are ignored.
     Result: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score,
-    where score is the highest containment of a template in a line, 1 for base places, else 0.
+    where score is the highest containment of a template in a block, 1 for base places, else 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
@@ -93,11 +112,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     src = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     # a line without any template word can't meet a threshold, and is left out before it is cut into words
-    lines = src.select("_row", F.posexplode(F.split("_text", "\n")).alias("_line", "_block")).select("_row", "_line", _spaced(F.col("_block")).alias("_spaced"))
-    least_words = min(least(len(ws)) for _, _, ws in rows)
-    lines = lines.where(_count_words(F.col("_spaced")) >= least_words)
+    lines = src.select("_row", F.explode(F.split("_text", "\n")).alias("_block")).select("_row", _spaced(F.col("_block")).alias("_spaced"))
     own = F.array(*map(F.lit, vocabulary))
-    words = lines.select("_row", "_line", F.array_intersect(F.split(F.trim("_spaced"), " "), own).alias("_words")).where(F.size("_words") >= 1)
+    words = lines.select("_row", F.array_intersect(F.split(F.trim("_spaced"), " "), own).alias("_words")).where(F.size("_words") >= 1)
     # cutting lines into words is the costly part, so it is done once for the counts and the join
     words = scratch.table(words, "words")
     # corpus frequency: the number of lines that hold the token
@@ -107,12 +124,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     prefixes = []
     for k, label, ws in rows:
         by_rank = sorted(ws, key=rank.__getitem__)
-        prefixes += [(k, len(ws), pos, w) for pos, w in enumerate(by_rank[: len(ws) - least(len(ws)) + 1])]
-    prefix = spark.createDataFrame(prefixes, "template int, n int, pos int, token string")
+        prefixes += [(k, AROUND[k], len(ws), pos, w) for pos, w in enumerate(by_rank[: len(ws) - least(len(ws)) + 1])]
+    prefix = spark.createDataFrame(prefixes, "template int, around int, n int, pos int, token string")
 
-    blocks = words.where(F.size("_words") >= least_words)
     # F.broadcast: the templates are a constant of this module, a few hundred tokens
-    hits = blocks.select("_row", "_line", "_words", F.explode("_words").alias("token")).join(F.broadcast(prefix), "token")
+    # a block around a break that holds a template holds one of its prefix tokens, so some line of its document does
+    rare = spark.createDataFrame(sorted({(w,) for *_, w in prefixes}), "token string")
+    wrapped = words.select("_row", F.explode("_words").alias("token")).join(F.broadcast(rare), "token", "left_semi").select("_row").distinct()
+    wrapped = src.where(F.contains("_text", F.lit("\n"))).join(wrapped, "_row", "left_semi")
+    least_words = min(least(len(ws)) for _, _, ws in rows)
+    blocks = words.select("_row", F.lit(None).cast("int").alias("_around"), "_words").unionByName(_around_breaks(wrapped.select("_row", "_text"), own, least_words))
+    blocks = blocks.where(F.size("_words") >= least_words)
+    hits = blocks.select("_row", "_around", "_words", F.explode("_words").alias("token")).join(F.broadcast(prefix), "token").where("_around IS NULL OR _around = around")
     need = F.ceil(F.col("n") * F.lit(THRESHOLD) - 1e-9)
     hits = hits.where((F.size("_words") >= need) & (F.col("n") - F.col("pos") >= need))
     verified = hits.join(F.broadcast(templates), "template").select("_row", "label", "n", F.size(F.array_intersect("_words", "tokens")).alias("both"), F.size("_words").alias("have"))

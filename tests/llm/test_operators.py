@@ -453,3 +453,29 @@ def test_licenses(spark, awkward):
         if "Released under the MIT License." in t.split("\n"):
             assert "mit" in x.labels
     assert licenses.scan(awkward).count() == awkward.count()
+
+
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\r\nfile",
+}
+
+
+def test_wrapped_licenses(spark):
+    """A notice wrapped over lines, in its usual wrapping or one word a line, scores as on one line."""
+    filler = "\n".join(f"w{k} w{k + 1} w{k + 2}" for k in range(60))
+    texts, want = [], []
+    for label, notice in NOTICES.items():
+        for t in (notice, " ".join(notice.split()), "\n".join(notice.split()), f"\n\n{filler}\nmore words {notice} and more\n\n{filler}\n"):
+            texts.append(t)
+            want.append((label, 1.0))
+    for label, wording in licenses.TEMPLATES:
+        cut = wording.split()
+        texts += [" ".join(cut[:k]) + "\n" + " ".join(cut[k:]) for k in range(1, len(cut))]
+        want += [(label, 1.0)] * (len(cut) - 1)
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score == score for k, (label, score) in enumerate(want))
+    far = filler.replace("\n", f"\n{filler}\n")
+    apart = [f"permission is hereby granted free of charge to\n{far}\nany person obtaining a copy of this software and associated documentation files", filler, "\n", "\n\n mit"]
+    assert [(x.labels, x.score) for x in licenses.scan(spark.createDataFrame(rows(*apart), SCHEMA)).collect()] == [("", 0.0)] * 4
