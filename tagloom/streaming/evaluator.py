@@ -21,6 +21,9 @@ from tagloom.operators.columns import matches
 from tagloom.plans import nodes as n
 from tagloom.streaming.online import online
 
+#: Rows of one line that are held before they are given out.
+_PIECE = 10_000
+
 
 def _key(df: DataFrame, tag_map: str | None) -> Callable[[str], Column | None]:
     names = set(df.columns)
@@ -118,10 +121,10 @@ def time_grouped(points: DataFrame, step: int, how: str = "sum", ids: tuple[str,
     return grouped.select(*ids, F.unix_millis(F.col("_w.start").cast("timestamp")).alias("ts"), "value", "samples")
 
 
-def over_time(points: DataFrame, op: str, args: tuple, step: int, ids: tuple[str, ...] = ("keys",), max_gap: int = 1440) -> DataFrame:
+def over_time(points: DataFrame, op: str, args: tuple, step: int, ids: tuple[str, ...] = ("keys",), max_gap: int | None = None) -> DataFrame:
     """An over-time operator on a stream of (ids, ts, value): each line's state is carried between batches.
 
-    Steps without data count as missing, up to max_gap of them; then the line starts over.
+    Steps without data count as missing, however many; with max_gap, a line starts over after more of them.
     Points that are older than what a line has seen are dropped.
     """
     kinds = dict(points.dtypes)
@@ -134,25 +137,32 @@ def over_time(points: DataFrame, op: str, args: tuple, step: int, ids: tuple[str
             algorithm.restore(saved)
         rows = pd.concat(list(batches)).sort_values("ts")
         out = []
+
+        def piece() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=["ts", "value"])
+            frame = frame[~frame["value"].isna()]
+            for c, k in zip(ids, key, strict=True):
+                frame[c] = k
+            out.clear()
+            return frame[[*ids, "ts", "value"]]
+
         for t, v in zip(rows["ts"], rows["value"], strict=True):
             if last is not None and t <= last:
                 continue
             if last is not None:
                 gap = (t - last) // step - 1
-                if gap > max_gap:
+                if max_gap is not None and gap > max_gap:
                     algorithm = online(op, args, step)
                 else:
                     for k in range(int(gap)):
                         out.append((last + (k + 1) * step, algorithm.next(math.nan)))
+                        if len(out) >= _PIECE:
+                            yield piece()
             out.append((t, algorithm.next(math.nan if v is None else float(v))))
             last = int(t)
         if last is not None:
             state.update((algorithm.state(), last))
-        frame = pd.DataFrame(out, columns=["ts", "value"])
-        frame = frame[~frame["value"].isna()]
-        for c, k in zip(ids, key, strict=True):
-            frame[c] = k
-        yield frame[[*ids, "ts", "value"]]
+        yield piece()
 
     return points.groupBy(*ids).applyInPandasWithState(advance, f"{fields}, ts long, value double", "saved string, last long", "append", "NoTimeout")
 

@@ -276,3 +276,13 @@ def test_event_sample_counts_every_user(spark, tmp_path):
     data = _wide_events(spark, tmp_path)
     got = {(x.step_end, x.event_type): x["count"] for x in catalog.QUERIES["event_sample"](spark, str(tmp_path)).collect()}
     assert got == {(catalog.E0 + h * catalog.HOUR, kind): sum(a == h and c == kind for a, _, c, _ in data) for h, _, kind, _ in data}
+
+
+def test_over_time_carries_its_state_over_long_gaps(spark, tmp_path):
+    last = 25_000
+    for points in ([(1, 2.0)], [(last, 3.0)]):
+        spark.createDataFrame([("a", t * STEP, v) for t, v in points], "keys string, ts long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = evaluator.over_time(spark.readStream.schema("keys string, ts long, value double").parquet(f"{tmp_path}/in"), "integral", (), STEP).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination(60)
+    got = {x.ts // STEP: x.value for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {t: 5.0 if t == last else 2.0 for t in range(1, last + 1)}
