@@ -1,11 +1,14 @@
 """Media columns: content-defined chunks, deduplicated by digest, and verified reconstruction.
 
 A payload of 8-bit samples is cut where a rolling gear hash of its last 32 bytes has
-zero top bits, so equal passages give equal chunks wherever they stand. Chunks are
-stored once by digest, compressed with a dictionary, in a table bucketed by digest; a recipe of
-ordered digests rebuilds each payload. Equal payloads share one recipe. Rebuilding joins
-recipes with the chunk store, which is not shuffled again, streams each payload's chunks
-in order and verifies digest and length.
+zero top bits, so equal passages give equal chunks wherever they stand. Digests alone
+are shuffled to find, by joins, the one payload that owns each chunk; the store then has
+one record for each distinct payload: its ordered chunk list and the bytes of the chunks
+it owns. Payload bytes are shuffled once, compressed, to their record, in a table bucketed
+by payload, and a slice of the payloads at a time, so that shuffle files stay a share of
+the store. Reading back needs no further shuffle of the store: a record's own chunks are
+at hand, and only chunks that another payload owns are joined in. Every payload is
+verified by digest. Equal payloads share one record, which is the stored form described.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ PAD, MULTIPLE = b"\x20", 192
 #: Chunk bytes: least, average (a power of two), most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), "<u4").astype(np.uint32)
-#: Texts, and characters of each, from which the compression dictionary is made, and its bytes. It changes sizes only.
-DICTIONARY_TEXTS, DICTIONARY_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 8000, 110_000, 12
-#: References from which on a chunk is dealt out over SALTS tasks when payloads are rebuilt.
-HOT_REFERENCES, SALTS = 4096, 64
-#: Digests that one task remembers, so that it ships a frequent chunk once.
+#: Compression level of stored samples.
+LEVEL = 12
+#: Parts in which payloads are shuffled to their records, one after the other: disk for shuffles is this share of the store.
+SLICES = 2
+#: Payload digests that one task remembers, so that it ships copies once.
 RECENT = 100_000
+#: Buckets of the store at most, as Spark allows no more.
+MOST_BUCKETS = 100_000
+_MAGIC, _DIGEST = b"GDR1", 20
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -75,21 +81,42 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
-def stored_form(chunks: list[bytes]) -> bytes:
-    """The stored form of a payload: a header, then each chunk's length and samples."""
-    return b"GEAR" + struct.pack("<I", len(chunks)) + b"".join(struct.pack("<I", len(c)) + c for c in chunks)
+def _pieces(payload: bytes) -> list[bytes]:
+    ends = cuts(payload)
+    return [payload[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:_DIGEST]
+
+
+def record_of(payload: bytes, digests: list[bytes], sizes: list[int], elsewhere: set[int], frame: bytes | None = None) -> bytes:
+    """The stored form of a payload: its chunks' digests, sizes and whether it owns them, then one frame of those it owns.
+
+    elsewhere has the places of chunks that another payload, or another place, owns;
+    frame is the compressed payload, which is used as it is if all chunks are its own.
+    """
+    listed = b"".join(d + struct.pack("<IB", n, k not in elsewhere) for k, (d, n) in enumerate(zip(digests, sizes, strict=True)))
+    if elsewhere or frame is None:
+        ends = np.cumsum([0, *sizes]).tolist()
+        frame = zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(payload[ends[k] : ends[k + 1]] for k in range(len(sizes)) if k not in elsewhere))
+    return _MAGIC + struct.pack("<I", len(digests)) + listed + frame
 
 
-def chunks_of(media: bytes) -> list[bytes]:
-    """The chunks of a stored form."""
-    if media[:4] != b"GEAR":
+def chunks_of(record: bytes) -> list[tuple[bytes, bytes | None]]:
+    """Digest and samples of each chunk of a stored form; None for samples that are stored elsewhere."""
+    if record[:4] != _MAGIC:
         raise ValueError("not a stored payload")
-    out, at = [], 8
-    for _ in range(struct.unpack_from("<I", media, 4)[0]):
-        (n,) = struct.unpack_from("<I", media, at)
-        out.append(media[at + 4 : at + 4 + n])
-        at += 4 + n
-    if at != len(media) or any(len(c) > MOST for c in out):
+    (n,) = struct.unpack_from("<I", record, 4)
+    at, listed = 8, []
+    for _ in range(n):
+        listed.append((record[at : at + _DIGEST], *struct.unpack_from("<IB", record, at + _DIGEST)))
+        at += _DIGEST + 5
+    own, out, k = zstandard.ZstdDecompressor().decompress(record[at:]), [], 0
+    for d, size, owned in listed:
+        out.append((d, own[k : k + size] if owned else None))
+        k += size if owned else 0
+    if k != len(own):
         raise ValueError("damaged payload")
     return out
 
@@ -102,152 +129,152 @@ def features(payload: bytes) -> str:
     return f"mean={mean};power={int((centred * centred).sum()) // len(x)};crossings={int(np.count_nonzero(np.diff(centred >= 0)))}"
 
 
-def train_dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A compression dictionary from a bounded sample of about DICTIONARY_TEXTS texts; empty if there is too little text."""
-    share = min(1.0, DICTIONARY_TEXTS / max(1, docs.count()))
-    # by a hash of the whole row, so that copies don't come together; the limit bounds what repeated rows could add
-    picked = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30))))
-    rows = picked.select(F.substring(text_col, 1, DICTIONARY_CHARS).alias("_t")).limit(2 * DICTIONARY_TEXTS).collect()
-    samples = [c for r in rows for c in _pieces(payload_of(r._t)[0])]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b""
-
-
-def _pieces(payload: bytes) -> list[bytes]:
-    ends = cuts(payload)
-    return [payload[a:z] for a, z in zip([0, *ends], ends, strict=False)]
-
-
-def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
-
-
-def _split(dictionary: bytes):
-    """(text) -> (digest, compressed chunk), each digest once for what a task remembers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_dict_id=False)
-        for b in batches:
-            digests, data = [], []
-            for t in b.column(0).to_pylist():
-                for chunk in _pieces(payload_of(t)[0]):
-                    d = hashlib.sha256(chunk).digest()[:20]
-                    if d not in seen:
-                        if len(seen) >= RECENT:
-                            seen.clear()
-                        seen.add(d)
-                        digests.append(d)
-                        data.append(packer.compress(chunk))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
-
-    return run
-
-
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, sizes, lists = [], [], []
+        keys, bytes_, lists, sizes = [], [], [], []
         for t in b.column(1).to_pylist():
             payload, n = payload_of(t)
+            pieces = _pieces(payload)
             keys.append(hashlib.sha256(payload).digest())
-            sizes.append(n)
-            lists.append([hashlib.sha256(c).digest()[:20] for c in _pieces(payload)])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "key", "chunks"])
+            bytes_.append(n)
+            lists.append([digest_of(c) for c in pieces])
+            sizes.append([len(c) for c in pieces])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bytes_, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "key", "chunks", "sizes"])
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
-    """(pid, pos, data) ordered by pid and pos -> one row for each pid; holds one payload at a time."""
-    key, parts = None, []
-    unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
+def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (key, compressed payload), each payload once for what a task remembers."""
+    seen: set[bytes] = set()
+    packer = zstandard.ZstdCompressor(level=LEVEL)
+    for b in batches:
+        keys, frames = [], []
+        for t in b.column(0).to_pylist():
+            payload, _ = payload_of(t)
+            key = hashlib.sha256(payload).digest()
+            if key in seen:
+                continue
+            if len(seen) >= RECENT:
+                seen.clear()
+            seen.add(key)
+            keys.append(key)
+            frames.append(packer.compress(payload))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(frames, pa.binary())], names=["key", "frame"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, frame, chunks, sizes, elsewhere) -> (key, record)."""
+    unpacker = zstandard.ZstdDecompressor()
+    for b in batches:
+        out = []
+        for frame, chunks, sizes, elsewhere in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            out.append(record_of(unpacker.decompress(frame) if elsewhere else b"", chunks, sizes, set(elsewhere or ()), frame))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "record"])
 
-    def done() -> tuple:
-        media = stored_form(parts)
-        payload = b"".join(chunks_of(media))
-        return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record, places) -> (digest, data) of the chunks at those places, compressed."""
+    packer = zstandard.ZstdCompressor(level=LEVEL)
     for b in batches:
-        rows = []
-        for k, pos, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if k != key:
-                if key is not None:
-                    rows.append(done())
-                key, parts = k, []
-            if pos != len(parts):
-                raise ValueError("a chunk is missing from the store")
-            parts.append(unpacker.decompress(data, max_output_size=MOST))
-        yield _rows(rows)
-    if key is not None:
-        yield _rows([done()])
+        digests, data = [], []
+        for record, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            chunks = chunks_of(record)
+            for k in places:
+                digests.append(chunks[k][0])
+                data.append(packer.compress(chunks[k][1]))
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
 
 
-_BUILT = pa.schema([("pid", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_BUILT = pa.schema([("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BUILT)], schema=_BUILT)
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, record, brought) -> what is read back of each payload; holds one payload at a time."""
+    unpacker = zstandard.ZstdDecompressor()
+    for b in batches:
+        rows = []
+        for key, record, brought in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            chunks = chunks_of(record)
+            more = {x["pos"]: unpacker.decompress(x["data"]) for x in brought or ()}
+            parts = [own if own is not None else more.get(k, b"") for k, (_, own) in enumerate(chunks)]
+            if any(digest_of(p) != d for p, (d, _) in zip(parts, chunks, strict=True)):
+                raise ValueError("a chunk is missing from the store or differs")
+            payload = b"".join(parts)
+            if hashlib.sha256(payload).digest() != key:
+                raise ValueError("a payload differs from what was stored")
+            rows.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(record), hashlib.sha256(record).hexdigest(), features(payload)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BUILT)], schema=_BUILT)
 
 
 @dataclass
 class Store:
-    """Recipes (doc_id, n_bytes, key, chunks), the bucketed table of chunks (digest, data) and their dictionary."""
+    """Recipes (doc_id, n_bytes, key), owners of shared chunks (digest, key, pos), references to them (key, pos, digest), and the table of records (key, record) bucketed by key."""
 
     recipes: DataFrame
+    owners: DataFrame
+    references: DataFrame
     table: str
     path: str
-    dictionary: bytes
+
+    def drop(self) -> None:
+        spark = self.recipes.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(spark, self.path)
 
 
 def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> Store:
-    """Write recipes, chunks and dictionary."""
+    """Write recipes, owners, references and records."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    dictionary = train_dictionary(docs, id_col, text_col)
-    scratch.table(spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "dictionary")
-    recipes = scratch.table(arrow_map(docs.select(docs[id_col], docs[text_col]), _recipes, f"doc_id {kind}, n_bytes long, key binary, chunks array<binary>"), "recipes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = arrow_map(docs.select(docs[text_col]), _split(dictionary), "digest binary, data binary").dropDuplicates(["digest"])
-    table, path = f"media_chunks_{uuid.uuid4().hex[:12]}", scratch.path("chunks")
-    chunks.write.bucketBy(n, "digest").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(table)
-    release(spark)
-    return Store(recipes, table, path, dictionary)
-
-
-def rebuild(kept: Store, scratch: Scratch) -> DataFrame:
+    recipes = scratch.table(arrow_map(docs.select(docs[id_col], docs[text_col]), _recipes, f"doc_id {kind}, n_bytes long, key binary, chunks array<binary>, sizes array<int>"), "recipes")
+    payloads = scratch.table(recipes.select("key", "chunks", "sizes").dropDuplicates(["key"]), "payloads")
+    places = payloads.select("key", F.posexplode("chunks").alias("pos", "digest"))
+    # a chunk belongs to the least payload that has it; only chunks that stand in several places are listed
+    owners = places.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("_o"), F.count("*").alias("_n")).where("_n > 1").select("digest", "_o.key", "_o.pos")
+    owners = scratch.table(owners, "owners")
+    named = owners.select(F.col("digest").alias("_d"), F.col("key").alias("_k"), F.col("pos").alias("_p"))
+    references = places.join(named, places["digest"] == named["_d"]).where("key <> _k OR pos <> _p").select("key", "pos", "digest")
+    references = scratch.table(references, "references")
+    about = payloads.join(references.groupBy("key").agg(F.collect_list("pos").alias("elsewhere")), "key", "left")
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    table, path = f"media_records_{uuid.uuid4().hex[:12]}", scratch.path("records")
+    text = docs.select(docs[text_col].alias("_text"))
+    out = Store(recipes.select("doc_id", "n_bytes", "key"), owners, references, table, path)
+    try:
+        for k in range(SLICES):
+            # final spaces may be padding, so texts of one payload agree up to them and fall into one slice
+            part = text.where(F.pmod(F.xxhash64(F.rtrim(F.coalesce("_text", F.lit("")))), F.lit(SLICES)) == k)
+            shipped = arrow_map(part, _ship, "key binary, frame binary").repartition(n, "key").dropDuplicates(["key"])
+            records = arrow_map(shipped.join(about, "key").select("key", "frame", "chunks", "sizes", "elsewhere"), _records, "key binary, record binary")
+            records.write.mode("append").bucketBy(n, "key").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(table)
+            release(spark)
+    except BaseException:
+        out.drop()
+        raise
+    return out
+
+
+def rebuild(kept: Store) -> DataFrame:
     """Read each distinct payload back from the store: key, sizes, digests and features of the stored form."""
     spark = kept.recipes.sparkSession
-    chunks = spark.table(kept.table)
-    # a short number stands for the key where chunks are shuffled
-    payloads = scratch.table(kept.recipes.select("key", "chunks").dropDuplicates(["key"]).withColumn("pid", F.monotonically_increasing_id()), "payloads")
-    wanted = payloads.select("pid", F.posexplode("chunks").alias("pos", "digest"))
-    hot = scratch.table(wanted.groupBy("digest").count().where(F.col("count") >= HOT_REFERENCES).select("digest"), "hot")
-    if hot.isEmpty():
-        parts = wanted.join(chunks, "digest").select("pid", "pos", "data")
-    else:
-        parts = wanted.join(hot, "digest", "left_anti").join(chunks, "digest").select("pid", "pos", "data")
-        salted = wanted.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int"))
-        copies = chunks.join(hot, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        parts = parts.unionByName(salted.join(copies, ["digest", "salt"]).select("pid", "pos", "data"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = parts.repartition(n, "pid").sortWithinPartitions("pid", "pos")
-    dictionary = kept.dictionary
-    built = arrow_map(ordered, lambda batches: _rebuild(batches, dictionary), "pid long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    both = payloads.select("pid", "key").join(built, "pid", "left")
-    same = F.coalesce(F.lower(F.hex("key")) == F.col("payload_sha256"), F.lit(False))
-    return both.withColumn("payload_sha256", F.when(same, F.col("payload_sha256")).otherwise(F.raise_error(F.lit("a payload differs from what was stored")))).drop("pid")
+    records = spark.table(kept.table)
+    wanted = kept.owners.groupBy("key").agg(F.collect_list("pos").alias("places"))
+    shared = arrow_map(records.join(wanted, "key").select("record", "places"), _shared, "digest binary, data binary")
+    brought = kept.references.join(shared, "digest").groupBy("key").agg(F.collect_list(F.struct("pos", "data")).alias("brought"))
+    return arrow_map(records.join(brought, "key", "left").select("key", "record", "brought"), _rebuild, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as media and describe what is read back, one output row per input row.
 
+    media_bytes and media_sha256 are of the payload's record as it lies in the store.
     Null text counts as empty (a payload of padding only). Repeated rows are repeated and
     stored once; a null id stays null; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "media")
     kept = store(docs, scratch, id_col, text_col)
-    built = scratch.table(rebuild(kept, scratch), "built")
-    docs.sparkSession.sql(f"DROP TABLE {kept.table}")
-    remove(docs.sparkSession, kept.path)
-    release(docs.sparkSession)
-    return kept.recipes.select("doc_id", "n_bytes", "key").join(built, "key").drop("key")
+    try:
+        built = scratch.table(rebuild(kept), "built")
+    finally:
+        kept.drop()
+        release(docs.sparkSession)
+    return kept.recipes.join(built, "key").drop("key")

@@ -375,15 +375,43 @@ def test_chunks():
     pieces = set(media._pieces(data))
     moved = set(media._pieces(b"some other start " * 9 + data))
     assert len(pieces & moved) > 0.8 * len(pieces)  # equal passages give equal chunks
-    assert b"".join(media.chunks_of(media.stored_form(media._pieces(data)))) == data
+    pieces = media._pieces(data)
+    digests, sizes = [media.digest_of(c) for c in pieces], [len(c) for c in pieces]
+    assert b"".join(own for _, own in media.chunks_of(media.record_of(data, digests, sizes, set()))) == data
+    some = media.chunks_of(media.record_of(data, digests, sizes, {0, 2}))
+    assert [own for _, own in some] == [None if k in (0, 2) else c for k, c in enumerate(pieces)]
+    with pytest.raises(ValueError):
+        media.chunks_of(b"RIFF")
 
 
-def test_media_hot_chunks(spark, monkeypatch):
-    monkeypatch.setattr(media, "HOT_REFERENCES", 5)
-    passage = " ".join(f"w{k}" for k in range(3000))
-    df = spark.createDataFrame([(k, passage + f" end {k}") for k in range(40)], "doc_id long, text string")
-    got = media.media_columns(df).collect()
-    assert len(got) == 40 and len({x.payload_sha256 for x in got}) == 40
+def test_media_store_against_brute_force(spark):
+    """Shared passages, chunks that repeat inside a payload, texts that differ in final spaces: each chunk is stored once, what is read back is described as stored."""
+    r = random.Random(8)
+    passage = " ".join(f"w{r.randrange(3000)}" for _ in range(3000))
+    texts = [passage + f" end {k}" for k in range(40)] + [passage * 3, "a", "a ", "a  ", "", None, "b" * 70_000, passage + " end 3"] + [" ".join(str(r.random()) for _ in range(r.randrange(1, 900))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    payloads = [media.payload_of(t)[0] for t in texts]
+    owner = {}
+    for p in sorted(set(payloads), key=lambda p: hashlib.sha256(p).digest()):
+        for k, c in enumerate(media._pieces(p)):
+            owner.setdefault(media.digest_of(c), (p, k))
+    want = {}
+    for p in set(payloads):
+        pieces = media._pieces(p)
+        digests = [media.digest_of(c) for c in pieces]
+        record = media.record_of(p, digests, [len(c) for c in pieces], {k for k, d in enumerate(digests) if owner[d] != (p, k)}, media.zstandard.ZstdCompressor(level=media.LEVEL).compress(p))
+        want[p] = (hashlib.sha256(p).hexdigest(), len(record), hashlib.sha256(record).hexdigest(), media.features(p))
+    got = {x.doc_id: (x.payload_sha256, x.media_bytes, x.media_sha256, x.feature) for x in media.media_columns(df).collect()}
+    assert got == {k: want[p] for k, p in enumerate(payloads)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("media_records")]
+
+
+def test_features_against_plain_arithmetic():
+    for data in (b" " * 192, bytes(range(192)), b"ab" * 96):
+        mean = sum(data) // len(data)
+        above = [x >= mean for x in data]
+        crossings = sum(a != b for a, b in zip(above, above[1:], strict=False))
+        assert media.features(data) == f"mean={mean};power={sum((x - mean) ** 2 for x in data) // len(data)};crossings={crossings}"
 
 
 # --- quality ---
