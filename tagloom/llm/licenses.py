@@ -1,18 +1,24 @@
 """License scans: phrase places and an exact set-similarity join of text blocks with templates.
 
-Blocks are lines, and, as notices are wrapped over lines, the words on both sides of
-each line break, for each template as many as it can have there. The tokens of the templates are ordered by their frequency in the
+Blocks are lines, paragraphs (lines up to one without words) and, as notices are wrapped
+over lines, the words on both sides of each line break, for each short template as many
+as it can have there. Short templates are notices, which lines and
+breaks are compared with; long ones are whole paragraphs of license texts, which lines
+and paragraphs are compared with, so that the common words of a long paragraph don't
+pass for a notice. The tokens of the templates are ordered by their frequency in the
 whole corpus, rarest first. A block that holds at least the share THRESHOLD of a
 template's tokens must hold one of the template's first n - ceil(THRESHOLD * n) + 1
-tokens in that order (prefix filter), must have ceil(THRESHOLD * n) tokens at least
-(length filter), and from the place of its first matching prefix token on enough
-tokens must be left in the template (positional filter). What passes is verified on
-the full sets, so the join is exact. DataFrame functions only.
+tokens in that order (prefix filter), must have ceil(THRESHOLD * n) template words at
+least (length filter), and where such a token is at place i of the template and place j
+of the block's ordered template words, min(i, j) before it and min(n - i, m - j) from it
+on must suffice (positional filter). What passes is verified on the full sets, so the
+join is exact. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +27,8 @@ from tagloom.llm.common import Scratch
 
 #: phrase, label; a place is where the words stand one after the other.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: label, wording; short forms of public license notices.
-TEMPLATES = (
+#: label, wording; notices and short forms of public licenses.
+NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2.0", "licensed under the apache license version 2.0"),
@@ -38,19 +44,28 @@ TEMPLATES = (
     ("cc0", "cc0 1.0 universal public domain dedication"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+#: label, wording; paragraphs of public license texts.
+PARAGRAPHS = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+)
 THRESHOLD = 0.8
-#: Words that a wording has on one side of a line break at most, when it has one on the other.
-AROUND = tuple(len(text.replace(".", " ").split()) - 1 for _, text in TEMPLATES)
-_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAPS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _spaced(text: Column) -> Column:
-    """The words, each with one space before and after."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _GAPS, " ")), F.lit(" "))
-
-
 def _count_words(spaced: Column) -> Column:
     return F.when(spaced == "  ", 0).otherwise(F.char_length(spaced) - F.char_length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long")
 
@@ -71,32 +86,60 @@ def _places(spaced: Column, phrase: str) -> Column:
     return F.when(F.instr(spaced, found) > 0, sums["out"]).otherwise(F.array().cast("array<int>"))
 
 
-def _around_breaks(texts: DataFrame, own: Column, least_words: int) -> DataFrame:
-    """(_row, _around, _words) for each line break of (_row, _text): template words among _around words before and after it, also across further breaks."""
-    # a word before a break ends with a line feed; empty lines make no break of their own
-    marked = F.regexp_replace(F.regexp_replace(F.translate("_text", _UPPER, _LOWER), _GAPS_IN_LINE, " "), r" *\n[ \n]*", "\n ")
-    cut = texts.select("_row", F.split(marked, " ").alias("_all"))
-    breaks = F.filter(F.sequence(F.lit(1), F.size("_all")), lambda i: F.endswith(F.element_at("_all", i), F.lit("\n")))
-    far = max(AROUND)
-    near = lambda ws, i, n: F.slice(ws, F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n)) + n)
-    plain = lambda ws: F.transform(ws, lambda w: F.rtrim(w, F.lit("\n")))
-    wide = cut.select("_row", F.explode(F.transform(breaks, lambda i: F.struct(F.least(i, F.lit(far)).alias("at"), plain(near("_all", i, far)).alias("ws")))).alias("_b"))
-    wide = wide.where(F.size(F.array_intersect("_b.ws", own)) >= least_words)
-    each = F.array(*[F.struct(F.lit(n).alias("n"), F.array_intersect(near(F.col("_b.ws"), F.col("_b.at"), n), own).alias("ws")) for n in sorted(set(AROUND))])
-    return wide.select("_row", F.explode(each).alias("_e")).select("_row", F.col("_e.n").alias("_around"), F.col("_e.ws").alias("_words"))
-
+def _distinct_words(text: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text)))
 
-def _template_rows() -> list[tuple[int, str, list[str]]]:
-    import re
 
-    words = lambda t: list(dict.fromkeys(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)))
-    return [(k, label, words(text)) for k, (label, text) in enumerate(TEMPLATES)]
+def _template_rows() -> list[tuple[int, str, list[str], int]]:
+    """Number, label, distinct words, and how many words a notice has on one side of a line break at most (-1: a paragraph)."""
+    notices = [(label, _distinct_words(text), len(re.findall(r"[^ .]+", text)) - 1) for label, text in NOTICES]
+    return [(k, *t) for k, t in enumerate([*notices, *((label, _distinct_words(text), -1) for label, text in PARAGRAPHS)])]
 
 
 def least(n: int) -> int:
     return math.ceil(THRESHOLD * n - 1e-9)
 
 
+#: What a block is compared with: all templates, long ones, or (from 1 on) the notices that reach so far around a break.
+_LINE, _PARAGRAPH = 0, -1
+
+
+def _normal(text: Column) -> Column:
+    """Lower case, one space between words, lines without spaces at their ends, nothing empty at either end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _GAPS_IN_LINE, " "), " *\n *", "\n"), F.lit(" \n"))
+
+
+def _blocks(normal: Column, vocabulary: list[str], rows: list[tuple[int, str, list[str], int]]) -> Column:
+    """array<struct<kind, words>>: template words, in order of the text, of each block with as many as any template needs."""
+    own = lambda ws: F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary)))
+    short = min(least(len(ws)) for _, _, ws, around in rows if around > 0)
+    long = min(least(len(ws)) for _, _, ws, around in rows if around < 0)
+    reach = sorted({around for *_, around in rows if around > 0})
+    block = lambda kind, ws: F.struct(F.lit(kind).alias("kind"), ws.alias("words"))
+    many = lambda bs: F.filter(bs, lambda b: F.size(b["words"]) >= F.when(b["kind"] == _PARAGRAPH, long).otherwise(short))
+    lines = lambda p: F.transform(F.split(p, "\n"), lambda x: block(_LINE, own(F.split(x, " "))))
+    near = lambda ws, i, n: F.slice(ws, F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n)) + n)
+
+    def around(p: Column) -> Column:
+        # a word before a break ends with a line feed
+        def at(ws: Column) -> Column:
+            plain = F.transform(ws, lambda w: F.rtrim(w, F.lit("\n")))
+            breaks = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: F.endswith(F.element_at(ws, i), F.lit("\n")))
+            close = F.filter(breaks, lambda i: F.size(own(near(plain, i, reach[-1]))) >= short)
+            return F.flatten(F.transform(close, lambda i: F.array(*[block(n, own(near(plain, i, n))) for n in reach])))
+
+        return F.flatten(F.transform(F.array(F.split(F.replace(p, F.lit("\n"), F.lit("\n ")), " ")), at))
+
+    def of(p: Column) -> Column:
+        single = many(lines(p))
+        return F.when(F.contains(p, F.lit("\n")), F.concat(single, many(F.array(block(_PARAGRAPH, own(F.split(p, "[ \n]"))))))).otherwise(single)
+
+    held = F.flatten(F.filter(F.transform(F.split(normal, "\n\n+"), of), lambda bs: F.size(bs) > 0))
+    # a text with fewer template words than any notice needs can hold none around a break
+    broken = F.contains(normal, F.lit("\n")) & (F.size(own(F.split(normal, "[ \n]"))) >= short)
+    return F.when(broken, F.concat(held, many(around(F.regexp_replace(normal, "\n+", "\n"))))).otherwise(held)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """License labels of each document, one output row per input row.
 
@@ -107,47 +150,41 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     rows = _template_rows()
-    vocabulary = sorted({w for _, _, ws in rows for w in ws})
-    templates = spark.createDataFrame(rows, "template int, label string, tokens array<string>")
-
-    src = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    # a line without any template word can't meet a threshold, and is left out before it is cut into words
-    lines = src.select("_row", F.explode(F.split("_text", "\n")).alias("_block")).select("_row", _spaced(F.col("_block")).alias("_spaced"))
-    own = F.array(*map(F.lit, vocabulary))
-    words = lines.select("_row", F.array_intersect(F.split(F.trim("_spaced"), " "), own).alias("_words")).where(F.size("_words") >= 1)
-    # cutting lines into words is the costly part, so it is done once for the counts and the join
-    words = scratch.table(words, "words")
-    # corpus frequency: the number of lines that hold the token
-    counts = words.select(F.explode("_words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    vocabulary = sorted({w for _, _, ws, _ in rows for w in ws})
+
+    normal = _normal(F.coalesce(docs[text_col], F.lit("")))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(normal, "\n+", " "), F.lit(" "))
+    src = docs.select(docs[id_col].alias("_id"), normal.alias("_normal"), spaced.alias("_spaced"))
+    # texts are read once; row numbers are written with what was found, so that later stages and lost executors see the same ones
+    read = src.select("_id", _count_words(F.col("_spaced")).alias("n_words"), *[_places(F.col("_spaced"), p).alias(f"_p{k}") for k, (p, _) in enumerate(PHRASES)], _blocks(F.col("_normal"), vocabulary, rows).alias("_blocks"))
+    read = scratch.table(read.withColumn("_row", F.monotonically_increasing_id()), "read")
+
+    # corpus frequency: the number of blocks that hold the token
+    each = read.where(F.size("_blocks") > 0).select("_row", F.posexplode("_blocks").alias("_at", "_b")).select("_row", F.col("_b.kind").alias("_kind"), F.col("_b.words").alias("_words"))
+    counts = each.select(F.explode("_words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     order = {r.token: (r.n, r.token) for r in counts.collect()}  # at most one row for each template word
-    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: order.get(w, (0, w))))}
+    by_rank = sorted(vocabulary, key=lambda w: order.get(w, (0, w)))
+    rank = {w: k for k, w in enumerate(by_rank)}
     prefixes = []
-    for k, label, ws in rows:
-        by_rank = sorted(ws, key=rank.__getitem__)
-        prefixes += [(k, AROUND[k], len(ws), pos, w) for pos, w in enumerate(by_rank[: len(ws) - least(len(ws)) + 1])]
-    prefix = spark.createDataFrame(prefixes, "template int, around int, n int, pos int, token string")
-
-    # F.broadcast: the templates are a constant of this module, a few hundred tokens
-    # a block around a break that holds a template holds one of its prefix tokens, so some line of its document does
-    rare = spark.createDataFrame(sorted({(w,) for *_, w in prefixes}), "token string")
-    wrapped = words.select("_row", F.explode("_words").alias("token")).join(F.broadcast(rare), "token", "left_semi").select("_row").distinct()
-    wrapped = src.where(F.contains("_text", F.lit("\n"))).join(wrapped, "_row", "left_semi")
-    least_words = min(least(len(ws)) for _, _, ws in rows)
-    blocks = words.select("_row", F.lit(None).cast("int").alias("_around"), "_words").unionByName(_around_breaks(wrapped.select("_row", "_text"), own, least_words))
-    blocks = blocks.where(F.size("_words") >= least_words)
-    hits = blocks.select("_row", "_around", "_words", F.explode("_words").alias("token")).join(F.broadcast(prefix), "token").where("_around IS NULL OR _around = around")
-    need = F.ceil(F.col("n") * F.lit(THRESHOLD) - 1e-9)
-    hits = hits.where((F.size("_words") >= need) & (F.col("n") - F.col("pos") >= need))
-    verified = hits.join(F.broadcast(templates), "template").select("_row", "label", "n", F.size(F.array_intersect("_words", "tokens")).alias("both"), F.size("_words").alias("have"))
-    verified = verified.where(F.col("both") >= F.ceil(F.col("n") * F.lit(THRESHOLD) - 1e-9))
+    for k, _, ws, around in rows:
+        first = sorted(ws, key=rank.__getitem__)[: len(ws) - least(len(ws)) + 1]
+        prefixes += [(k, around, len(ws), least(len(ws)), pos, w) for pos, w in enumerate(first)]
+    prefix = spark.createDataFrame(prefixes, "template int, around int, n int, need int, i int, token string")
+    templates = spark.createDataFrame([r[:3] for r in rows], "template int, label string, tokens array<string>")
+
+    # F.broadcast: the templates are a constant of this module, about a thousand tokens
+    ordered = each.select("_row", "_kind", F.array_intersect(F.array(*map(F.lit, by_rank)), "_words").alias("_words"))
+    hits = ordered.select("_row", "_kind", "_words", F.posexplode("_words").alias("j", "token")).join(F.broadcast(prefix), "token")
+    fits = F.when(F.col("_kind") == _LINE, True).when(F.col("_kind") == _PARAGRAPH, F.col("around") < 0).otherwise(F.col("around") == F.col("_kind"))
+    m = F.size("_words")
+    hits = hits.where(fits & (m >= F.col("need")) & (F.least("i", "j") + F.least(F.col("n") - F.col("i"), m - F.col("j")) >= F.col("need")))
+    verified = hits.join(F.broadcast(templates), "template").select("_row", "label", "n", "need", F.size(F.array_intersect("_words", "tokens")).alias("both"))
+    verified = verified.where("both >= need")
     per_row = verified.groupBy("_row").agg(F.collect_set("label").alias("_labels"), F.max(F.col("both") / F.col("n")).alias("_score"))
-    per_row = scratch.table(per_row, "labels")
 
-    spaced = _spaced(F.col("_text"))
-    base = src.select("_row", "_id", spaced.alias("_spaced")).select("_row", "_id", _count_words(F.col("_spaced")).alias("n_words"), *[_places(F.col("_spaced"), p).alias(f"_p{k}") for k, (p, _) in enumerate(PHRASES)])
     every = F.concat(*[f"_p{k}" for k in range(len(PHRASES))])
     named = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
-    out = base.join(per_row, "_row", "left")
+    out = read.drop("_blocks").join(per_row, "_row", "left")
     return out.select(
         F.col("_id").alias("doc_id"),
         "n_words",
@@ -166,15 +203,23 @@ def oracle(table: str = "documents") -> str:
     places = " UNION ALL ".join(
         f"SELECT row_no, i, '{label}' AS label FROM (SELECT row_no, w, unnest(range(1, len(w) - {len(p.split()) - 2})) AS i FROM d) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES
     )
-    values = ", ".join(f"({k}, '{label}', {ws!r})" for k, label, ws in _template_rows())
+    values = ", ".join(f"({k}, '{label}', {around}, {ws!r})" for k, label, ws, around in _template_rows())
+    reach = sorted({around for *_, around in _template_rows() if around > 0})
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS txt FROM {table}),
 d AS (SELECT row_no, doc_id, {words("txt")} AS w FROM t),
 p AS ({places}),
 b AS (SELECT row_no, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS ls FROM p GROUP BY row_no),
-m(template, label, tokens) AS (VALUES {values}),
-k AS (SELECT row_no, {words("block")} AS bw FROM (SELECT row_no, unnest(string_split(txt, chr(10))) AS block FROM t)),
-v AS (SELECT row_no, list(DISTINCT label) AS ls, max(len(list_intersect(tokens, bw)) / len(tokens)) AS score FROM k, m WHERE len(list_intersect(tokens, bw)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) GROUP BY row_no)
+m(template, label, around, tokens) AS (VALUES {values}),
+z AS (SELECT row_no, trim(regexp_replace(regexp_replace(translate(txt, '{_UPPER}', '{_LOWER}'), '{_GAPS_IN_LINE}', ' ', 'g'), ' *\n *', chr(10), 'g'), ' ' || chr(10)) AS x FROM t),
+q AS (SELECT row_no, unnest(regexp_split_to_array(x, '\n\n+')) AS par FROM z),
+r AS (SELECT row_no, string_split(regexp_replace(x, '\n+', chr(10) || ' ', 'g'), ' ') AS ws FROM z WHERE contains(x, chr(10))),
+o AS (SELECT row_no, ws, unnest(range(1, len(ws) + 1)) AS i FROM r),
+k AS (SELECT row_no, 0 AS kind, string_split(unnest(string_split(par, chr(10))), ' ') AS bw FROM q
+  UNION ALL SELECT row_no, -1, regexp_split_to_array(par, '[ \n]') FROM q WHERE contains(par, chr(10))
+  UNION ALL SELECT row_no, n, list_transform(ws[greatest(i - n + 1, 1):i + n], lambda w: rtrim(w, chr(10))) FROM o, (SELECT unnest({reach}) AS n) WHERE ends_with(ws[i], chr(10))),
+v AS (SELECT row_no, list(DISTINCT label) AS ls, max(len(list_intersect(tokens, bw)) / len(tokens)) AS score FROM k, m
+  WHERE (kind = 0 OR kind = -1 AND around < 0 OR kind = around AND around > 0) AND len(list_intersect(tokens, bw)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) GROUP BY row_no)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(b.ls, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(v.ls, [])))), ',') AS labels,

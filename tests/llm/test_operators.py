@@ -498,7 +498,7 @@ def test_wrapped_licenses(spark):
         for t in (notice, " ".join(notice.split()), "\n".join(notice.split()), f"\n\n{filler}\nmore words {notice} and more\n\n{filler}\n"):
             texts.append(t)
             want.append((label, 1.0))
-    for label, wording in licenses.TEMPLATES:
+    for label, wording in licenses.NOTICES:
         cut = wording.split()
         texts += [" ".join(cut[:k]) + "\n" + " ".join(cut[k:]) for k in range(1, len(cut))]
         want += [(label, 1.0)] * (len(cut) - 1)
@@ -507,3 +507,50 @@ def test_wrapped_licenses(spark):
     far = filler.replace("\n", f"\n{filler}\n")
     apart = [f"permission is hereby granted free of charge to\n{far}\nany person obtaining a copy of this software and associated documentation files", filler, "\n", "\n\n mit"]
     assert [(x.labels, x.score) for x in licenses.scan(spark.createDataFrame(rows(*apart), SCHEMA)).collect()] == [("", 0.0)] * 4
+
+
+def brute_blocks(text):
+    """Words and kind of each block: lines 0, paragraphs -1, words around a break by how many on either side."""
+    norm = re.sub(" *\n *", "\n", re.sub(r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))).strip(" \n")
+    for par in re.split("\n\n+", norm):
+        lines = [x.split(" ") for x in par.split("\n")]
+        yield from ((0, x) for x in lines)
+        if len(lines) > 1:
+            yield -1, [w for x in lines for w in x]
+    lines = [x.split(" ") for x in re.split("\n+", norm)]
+    for k in range(1, len(lines)):
+        before, after = [w for x in lines[:k] for w in x], [w for x in lines[k:] for w in x]
+        yield from ((n, before[-n:] + after[:n]) for *_, n in licenses._template_rows() if n > 0)
+
+
+def test_license_join_against_brute_force(spark):
+    """Every template that a block holds to the threshold, and no other; the same however the rows are dealt out."""
+    r = random.Random(9)
+    wordings = [t for _, t in (*licenses.NOTICES, *licenses.PARAGRAPHS)]
+    texts = [None, "", "\n\n"]
+    for _ in range(250):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            ws = r.choice(wordings).split()
+            ws = [w for w in ws if r.random() > r.choice((0, 0.05, 0.15, 0.3))]
+            ws = r.sample(ws, len(ws)) if r.random() < 0.2 else ws
+            parts.append("".join(w + r.choice((" ", " ", " ", "\n# ", ", ", "\r\n")) for w in ws))
+        texts.append(r.choice(("\n", "\n \n", " some words between ")).join(parts))
+    df = spark.createDataFrame(rows(*texts), SCHEMA)
+    want = {}
+    for k, t in enumerate(texts):
+        labels, best = set(), 0.0
+        for kind, ws in brute_blocks(t):
+            for _, label, tokens, around in licenses._template_rows():
+                both = len(set(ws) & set(tokens))
+                if (kind == 0 or kind == -1 and around < 0 or kind == around and around > 0) and both >= licenses.least(len(tokens)):
+                    labels.add(label)
+                    best = max(best, both / len(tokens))
+        *_, base = brute_licenses(t)
+        want[k] = (",".join(sorted(labels | set(filter(None, base.split(","))))), 1.0 if base else best)
+    other = spark.createDataFrame([(k, "x") for k in range(len(texts))], "id2 long, y string")
+    dealt = df.repartition(7), df.join(other, df["doc_id"] == other["id2"]).drop("id2", "y"), df
+    for one in dealt:
+        got = {x.doc_id: (x.labels, pytest.approx(x.score)) for x in licenses.scan(one).collect()}
+        assert got == want
+    assert sum(bool(x) for x, _ in want.values()) > 100
