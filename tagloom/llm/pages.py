@@ -14,6 +14,7 @@ import html as html_lib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +26,18 @@ from tagloom.llm.common import arrow_map, texts_of
 #: Labelled pages of a fit, their seed, and rounds over them.
 PAGES, SEED, ROUNDS = 240, 7, 6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_PART = re.compile(r">|=\s*([\"'])")
+_PLAIN_END = re.compile(r"[<>]")
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[a-z]+")
-_RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "audio", "video", "head"))
+_RAW = frozenset(("script", "style", "title", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "audio", "video"))
+#: Without an end tag these reach to the end of the page; others of _RAW are then tags without content.
+_TO_THE_END = frozenset(("script", "style"))
+#: Elements that may hold themselves.
+_NESTS = frozenset(("template", "svg", "object", "math", "canvas", "audio", "video"))
+#: Open inline elements that are remembered; further ones change nothing but how much text counts as linked.
+_MOST_INLINE = 256
 _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
 _INLINE = frozenset(("a", "b", "i", "em", "strong", "span", "u", "s", "small", "big", "sub", "sup", "code", "kbd", "samp", "var", "cite", "q", "abbr", "dfn", "mark", "time", "font", "label", "tt", "del", "ins", "bdi", "bdo", "data", "ruby", "rt", "rp", "img", "wbr", "acronym", "strike"))
 _CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"))
@@ -57,13 +66,93 @@ class Node:
         self.deep = parent.deep + 1 if parent else 0
 
 
+def tokens(source: str) -> Iterator[tuple[str, bool, str, int, int]]:
+    """Tags as (name, whether it ends an element, attributes, start, end) in order; comments have an empty name.
+
+    Raw elements (scripts, styles and the like) are one token without a name, whatever
+    they hold. Every character is looked at a bounded number of times: a tag whose quotes
+    or bracket never close ends at the next bracket, as do all tags after it, and an end
+    tag that was once not found is not looked for again.
+    """
+    at, size = 0, len(source)
+    last_close, last = source.rfind(">"), {q: source.rfind(q) for q in "\"'"}
+    plain, endless = False, set()
+    while (start := source.find("<", at)) >= 0:
+        after = source[start + 1 : start + 2]
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield "", False, "", start, at
+            continue
+        if after in ("!", "?") and after:
+            end = source.find(">", start) if last_close > start else -1
+            at = start + 2 if end < 0 else end + 1
+            if end >= 0:
+                yield "", False, "", start, at
+            continue
+        m = _NAME.match(source, start)
+        if m is None:
+            at = start + 1
+            continue
+        end, pos = -1, m.end()
+        while not plain:
+            part = _PART.search(source, pos) if last_close >= pos else None
+            if part is None or part[1] and last[part[1]] < part.end():
+                plain = True
+            elif part[1]:
+                pos = source.index(part[1], part.end()) + 1
+            else:
+                end = part.start()
+                break
+        if end < 0:
+            part = _PLAIN_END.search(source, m.end())
+            if part is None:  # a tag that the page's end cuts off
+                yield "", False, "", start, size
+                return
+            end = part.start()
+        at = end + (source[end] == ">")
+        name, ends, attrs = m[1].lower(), source[start + 1] == "/", source[m.end() : end]
+        if name in _RAW and not ends:
+            close = -1
+            if not attrs.endswith("/") and name not in endless:
+                close = _raw_end(source, name, at)
+                if close < 0:
+                    endless.add(name)
+            if name in endless and name in _TO_THE_END:
+                close = size
+            at = max(at, close)
+            yield "", False, "", start, at
+            continue
+        yield name, ends, attrs, start, at
+
+
+@lru_cache(maxsize=None)
+def _tags_of(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>?" if name in _NESTS else rf"<(/){name}(?=[\s/>])[^>]*>?", re.I)
+
+
+def _raw_end(source: str, name: str, at: int) -> int:
+    """Where a raw element ends that opened before `at`; nested ones of its name end first, if all end; -1 if it doesn't end."""
+    depth, first = 1, -1
+    for m in _tags_of(name).finditer(source, at):
+        if m[1]:
+            depth -= 1
+            first = m.end() if first < 0 else first
+            if depth == 0:
+                return m.end()
+        elif not m[0].endswith("/>"):
+            depth += 1
+    return first
+
+
 def parse(source: str) -> Node:
     """The tree of block elements; children in page order; runs of text are #text nodes."""
     root = Node("html", "", None)
     # open elements: [tag, node or None for inline ones]
     stack: list[tuple[str, Node]] = [("html", root)]
     run: list[str] = []
-    linked, links, at, raw = 0, 0, 0, None
+    opened: Counter[str] = Counter()
+    linked, inline, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -77,61 +166,62 @@ def parse(source: str) -> Node:
         linked = 0
 
     def close_to(k: int) -> None:
-        nonlocal links
-        if any(t not in _INLINE for t, _ in stack[k:]):
+        nonlocal inline
+        gone = [t for t, _ in stack[k:]]
+        if any(t not in _INLINE for t in gone):
             flush()
-        links -= sum(t == "a" for t, _ in stack[k:])
+        opened.subtract(gone)
+        inline -= sum(t in _INLINE for t in gone)
         del stack[k:]
 
-    for m in _TOKEN.finditer(source):
-        if raw is not None:
-            if m[2] and m[1] and m[2].lower() == raw:
-                raw = None
-            at = m.end()
-            continue
-        if m.start() > at:
-            piece = source[at : m.start()]
-            run.append(piece)
-            if links > 0:
-                linked += len(piece)
-        at = m.end()
-        if not m[2]:
+    def said(upto: int) -> None:
+        nonlocal linked
+        if upto > at:
+            run.append(source[at:upto])
+            if opened["a"] > 0:
+                linked += upto - at
+
+    for tag, ends, attrs, start, end in tokens(source):
+        said(start)
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if ends:
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k][0] == tag:
                     close_to(k)
                     break
                 if tag in _INLINE and stack[k][0] not in _INLINE:
                     break  # a stray inline end doesn't close blocks
             continue
-        if tag in _RAW:
-            if not m[3].endswith("/"):
-                raw = tag
-            continue
-        if tag in ("html", "body"):
+        if tag in ("html", "body", "head"):
             flush()
-            if tag == "body" and m[3]:
-                root.attrs = m[3]
+            if tag == "body" and attrs:
+                root.attrs = attrs
             continue
         if tag in ("br", "hr"):
             flush()
         if tag in _VOID:
             continue
         if tag in _INLINE:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
+            if tag == "a" and opened["a"] > 0:  # links don't nest: the one before ends here
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "a")
+                stack[k] = ("span", stack[k][1])
+                opened.update(span=1, a=-1)
+            if inline < _MOST_INLINE:
+                stack.append((tag, stack[-1][1]))
+                opened[tag] += 1
+                inline += 1
             continue
         flush()
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and opened["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     close_to(k)
                     break
                 if stack[k][0] not in _INLINE:
                     break
-        if tag in _ENDS:
+        if tag in _ENDS and any(opened[t] > 0 for t in _ENDS[tag][0]):
             own, barrier = _ENDS[tag]
             found = 0
             for k in range(len(stack) - 1, 0, -1):
@@ -141,14 +231,12 @@ def parse(source: str) -> Node:
                     break
             if found:
                 close_to(found)
-        node = Node(tag, m[3], stack[-1][1])
+        node = Node(tag, attrs, stack[-1][1])
         stack[-1][1].children.append(node)
-        stack.append((tag, node))
-        if m[3].endswith("/"):
-            stack.pop()
-    if raw is None and at < len(source):
-        rest = source[at:]
-        run.append(rest if "<" not in rest else rest[: rest.rindex("<")] if re.match(r"</?[a-zA-Z]", rest[rest.rindex("<") :]) else rest)
+        if not attrs.endswith("/"):
+            stack.append((tag, node))
+            opened[tag] += 1
+    said(len(source))
     flush()
     return root
 
@@ -409,8 +497,10 @@ def fitted(pages: int = PAGES, seed: int = SEED) -> Model:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of each page, one output row per input row.
 
-    Null html counts as empty and gives an empty text, as do pages without content. A
-    null id or url stays null; repeated rows are repeated; other columns are ignored.
+    Null html counts as empty and gives an empty text, as do pages without content. Html
+    of any length and any faults is read in time linear in its length; what looks like a
+    tag is one, as in browsers. A null id or url stays null; repeated rows are repeated;
+    other columns are ignored.
     Result: page_id, url, text, n_chars.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

@@ -184,6 +184,53 @@ def test_pages(spark):
     assert sorted((x.page_id or 0, x.text, x.n_chars) for x in got) == [(0, "", 0), (1, "A & B\nOne two.\nThree four, and more of it.", 42)] + [(1, "A & B\nOne two.\nThree four, and more of it.", 42)] + [(2, "", 0)]
 
 
+def test_pages_with_faults():
+    """Legal and broken html that must not lose the article."""
+    said = "One two three four five six, seven eight nine."
+    article = f"<article><h1>Title of it</h1><p>{said}</p><p>More of it, and then some more.</p></article>"
+    want = f"Title of it\n{said}\nMore of it, and then some more."
+    model = pages.fitted()
+    for html in (
+        f"<html><head><title>T</title><body>{article}",
+        f"<title>T<b></title><meta charset=x>{article}",
+        f"<html><head><script>for(i=0;i<n;i++){{a('</p>')}}</script></head><body>{article}</body>",
+        f"<body><script>if(a<b)document.write('<scr'+'ipt>')</SCRIPT >{article}",
+        f"<body><iframe src=x>{article}",
+        f"<body><noscript>{article}",
+        f"<body><svg><svg><text>no</text></svg><text>no</text></svg>{article}",
+        f"<body><p title=it's>{article}",
+        f"<body><!-- a > b -->{article}<!-- open",
+        f"{article}</body></html><script>",
+        f"{article}<div class='x",
+        f"<body><img alt='a > b'><!DOCTYPE x>{article}</x></y>",
+    ):
+        assert model.text(html) == want, html
+    assert model.text(f"<body><article><p>When a < b, c <3 and 5 > 4, all is well with us.</p><p>{said}</p></article>") == f"When a < b, c <3 and 5 > 4, all is well with us.\n{said}"
+    assert model.text(f"<body><article><p>{said} <a href=x>link</a></p><p>And <a href=y>another<a href=z>one</a> is here.</p></article>") == f"{said} link\nAnd anotherone is here."
+
+
+def test_pages_in_linear_time():
+    import time
+
+    for part in ('<a href="x ', "<div>", "</x><div>", "<b>", "<li>", "<iframe>", "<svg>", "<!-- ", "<p <", "<a b='", "<", "<!", "<script>", "<li><div>", "<div></p>", "<a><div>", "&amp"):
+        began = time.process_time()
+        pages.parse(part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 8, part  # about a second; a quadratic reader takes minutes
+
+
+def test_pages_table():
+    """All pages of the smallest table, as labelled by hand: the article element's blocks are the text."""
+    import html as html_lib
+
+    import pyarrow.parquet as pq
+
+    model, rows_ = pages.fitted(), pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    for row in rows_:
+        inside = re.search(r"<article>(.*?)(?:</article>|$)", row["html"], re.S)[1]
+        blocks = [" ".join(html_lib.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)\b[^>]*>", inside)]
+        assert model.text(row["html"]) == "\n".join(filter(None, blocks)), row["page_id"]
+
+
 def test_pages_held_out():
     r, model, right, total = random.Random(1234), pages.fitted(), 0, 0
     for _ in range(80):
