@@ -4,12 +4,15 @@ Two small collections of M sketches, each of R minhashes, give M * M table keys:
 is a pair of a sketch of the first and one of the second collection. So 2 * M * R
 minhashes serve M * M tables of 2 * R rows.
 
-Texts with equal shingle sets are one class. In each table bucket every class meets a
-bucket member picked at random, links are confirmed on the full sets, and components
-grow from them. What is left in buckets that still hold several components goes through
-an exact prefix-filter join: sets of Jaccard similarity 0.8 share one of their rarest
-fifth of shingles. So no bucket is expanded into all its pairs, and no link is lost that
-any bucket holds. Two texts of similarity 0.8 share no bucket with a chance of 8e-5.
+Texts with equal shingle sets are one class. In each table bucket every class meets the
+bucket's first member in one order of all classes, so that the members of a large group
+meet few others; links are confirmed on the full sets, and components grow from them. In
+buckets that then hold several components, members of other components than its own meet
+a member picked at random for the bucket. What is left goes through an exact
+prefix-filter join: shingles that only one component has come first, then rarer ones
+before frequent ones, and sets of Jaccard similarity 0.8 share one of their first fifth
+in that order. So no bucket is expanded into all its pairs, and no link is lost that any
+bucket holds. Two texts of similarity 0.8 share no bucket with a chance of 8e-5.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import Scratch, arrow_map, release, texts_of
@@ -28,8 +31,6 @@ from tagloom.llm.common import Scratch, arrow_map, release, texts_of
 M, R = 10, 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Of 2 * M * R minhashes, linked sets agree in fewer than this with a chance of 1e-9; used before full sets are compared.
-LEAST_AGREEING = 16
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, 2 * M * R, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MEMORY = 200_000
@@ -130,20 +131,36 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0)
 
 
-def _agreeing(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, v: acc + v)
-
-
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (_agreeing(F.col("sa"), F.col("sb")) >= LEAST_AGREEING)).select("a", "b")
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b")
     likely = scratch.table(likely.distinct(), f"{name}-likely")
     full = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
     both = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
     return scratch.table(both.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * PERCENT).select("a", "b"), f"{name}-links")
 
 
+def _grown(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (id, label) after more links between ids."""
+    if links.isEmpty():
+        return labels
+    up = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    more = components(between, scratch).select(F.col("id").alias("_i"), F.col("label").alias("_up"))
+    lifted = labels.join(more, labels["label"] == more["_i"], "left").select("id", F.coalesce("_up", "label").alias("label"))
+    fresh = more.join(labels, more["_i"] == labels["id"], "left_anti").select(F.col("_i").alias("id"), F.col("_up").alias("label"))
+    return scratch.table(lifted.unionByName(fresh), "labels")
+
+
+def _mixed(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, comp) of the members of buckets that hold several components."""
+    known = labels.select(F.col("id").alias("_i"), "label")
+    placed = members.select("key", "id").join(known, members["id"] == known["_i"], "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
+    keys = scratch.table(placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key"), "mixed-keys")
+    return scratch.table(placed.join(keys, "key"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 2) -> DataFrame:
     """Component of each document, one output row per input row.
 
@@ -159,12 +176,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.table(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     # a class stands under its least id; an id that leads several classes brings all its sets
-    nodes = classes.select("id", "n", "sig")
+    nodes = classes.select("id", "n")
 
     half = lambda at: F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda k: F.xxhash64(F.get("sig", k * R + at), *[F.get("sig", k * R + at + r) for r in range(1, R)]))
-    keyed = nodes.select("id", F.posexplode(half(0)).alias("_i", "_a"), half(M * R).alias("_bs")).select("id", "_i", "_a", F.posexplode("_bs").alias("_j", "_b")).select("id", F.xxhash64("_i", "_j", "_a", "_b").alias("key"))
-    reps = keyed.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("_rep")).where("_n > 1").select("key", F.col("_rep.id").alias("rep"))
-    members = scratch.table(keyed.join(reps, "key").select("key", "id", "rep").distinct(), "buckets")
+    keyed = classes.select("id", "sig").select("id", F.posexplode(half(0)).alias("_i", "_a"), half(M * R).alias("_bs")).select("id", "_i", "_a", F.posexplode("_bs").alias("_j", "_b")).select("id", F.xxhash64("_i", "_j", "_a", "_b").alias("key"))
+    reps = keyed.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("_rep")).where("_n > 1").select("key", F.col("_rep.id").alias("rep"))
+    # written first, so that a bucket that a third of all classes are in is dealt anew where it is joined
+    reps = scratch.table(reps, "reps")
+    members = scratch.table(keyed.join(reps, "key").select("key", "id", "rep"), "buckets")
     release(spark)
     active = members.select("id").distinct()
     sets = arrow_map(src.join(active, src["doc_id"] == active["id"]).select("doc_id", "text"), _sets(shingle_words), "id long, set array<long>")
@@ -179,15 +198,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = scratch.table(led.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "ties")
     first = components(links.union(ties), scratch)
 
-    rest = _left_over(members, first, sets, scratch)
-    more = _confirmed(rest, nodes, sets, scratch, "rest")
-    if not more.isEmpty():
-        up = lambda c: first.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-        between = more.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        second = components(between, scratch).select(F.col("id").alias("_i"), F.col("label").alias("_up"))
-        lifted = first.join(second, first["label"] == second["_i"], "left").select("id", F.coalesce("_up", "label").alias("label"))
-        fresh = second.join(first, second["_i"] == first["id"], "left_anti").select(F.col("_i").alias("id"), F.col("_up").alias("label"))
-        first = scratch.table(lifted.unionByName(fresh), "labels")
+    mixed = _mixed(members, first, scratch)
+    chosen = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "comp")).alias("_rep")).select("key", F.col("_rep.id").alias("rep"), F.col("_rep.comp").alias("_comp"))
+    again = mixed.join(scratch.table(chosen, "chosen"), "key").where("comp <> _comp").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+    first = _grown(first, _confirmed(again, nodes, sets, scratch, "again"), scratch)
+    rest = _left_over(_mixed(mixed, first, scratch), sets, scratch)
+    first = _grown(first, _confirmed(rest, nodes, sets, scratch, "rest"), scratch)
 
     led_all = rows.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", F.col("id").alias("_class")), ["k1", "k2"], "left")
     out = led_all.join(first.select(F.col("id").alias("_class"), "label"), "_class", "left")
@@ -196,23 +212,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of different components in buckets that hold several, which share a shingle of their prefixes."""
-    known = labels.select(F.col("id").alias("_i"), "label")
-    placed = members.select("key", "id").join(known, members["id"] == known["_i"], "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-    ids = scratch.table(placed.join(mixed, "key").select("id", "comp").distinct(), "mixed")
-    # frequency among these sets orders the shingles, rarest first
+def _left_over(mixed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of different components in buckets (key, id, comp) that hold several, which share a shingle of their prefixes."""
+    ids = scratch.table(mixed.select("id", "comp").distinct(), "left-ids")
     each = sets.join(ids, "id").withColumn("_set", F.monotonically_increasing_id())
-    each = scratch.table(each.select("_set", "id", "comp", F.size("set").alias("n"), "set"), "mixed-sets")
+    each = scratch.table(each.select("_set", "id", "comp", F.size("set").alias("n"), "set"), "left-sets")
     flat = each.select("_set", "id", "comp", "n", F.explode("set").alias("t"))
-    often = flat.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-    ranked = flat.join(often, "t").groupBy("_set", "id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t", (F.col("_lo") != F.col("_hi")).alias("mixed")))).alias("_ts"))
+    # Shingles that one component alone has can't link it with others. They come first in the order, so they fill
+    # prefixes without making pairs; the others follow by frequency, rarest first. Written, so that a frequent one is dealt anew.
+    often = flat.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("t", "df")
+    often = scratch.table(often, "left-shingles")
+    ranked = flat.join(often, "t").groupBy("_set", "id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("_ts"))
     n_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100 - 1e-9) + 1
-    prefix = ranked.select("id", "comp", "n", F.posexplode(F.slice("_ts", 1, n_prefix.cast("int"))).alias("pos", "_t")).where("_t.mixed").select("id", "comp", "n", "pos", F.col("_t.t").alias("t")).distinct()
+    own = F.col("n") - F.size("_ts")
+    reach = F.greatest(n_prefix - own, F.lit(0)).cast("int")
+    prefix = ranked.select("id", "comp", "n", own.alias("own"), F.posexplode(F.slice("_ts", 1, reach)).alias("_k", "_t")).select("id", "comp", "n", (F.col("own") + F.col("_k")).alias("pos"), F.col("_t.t").alias("t")).distinct()
     prefix = scratch.table(prefix, "prefix")
     # members of a shingle's most frequent component meet the others, not one another
     main = prefix.groupBy("t", "comp").count().groupBy("t").agg(F.max(F.struct("count", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("t", F.col("_m.comp").alias("main"))
+    main = scratch.table(main, "main")
     side = lambda df, x: df.select("t", F.col("id").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
     others = side(prefix.join(main, "t").where("comp <> main"), "x")
     # length filter, and positional filter: at the first shared shingle so many can be shared from there on
