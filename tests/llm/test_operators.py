@@ -359,12 +359,12 @@ def test_shard_lookup(tmp_path):
 def test_overlaps_against_brute_force(spark):
     r = random.Random(8)
     vocabulary = [f"v{k}" for k in range(400)]
-    items = [[r.choice(vocabulary) for _ in range(n)] for n in (3, 5, 8, 9, 12, 20, 40)]
+    items = [[r.choice(vocabulary) for _ in range(n)] for n in (3, 5, 8, 9, 12, 20, 40, 6, 7, 10, 11, 13, 14, 1)]
     docs = []
-    for _ in range(120):
+    for _ in range(220):
         t = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
         item = list(r.choice(items))
-        for _ in range(r.choice((0, 1, 2, 4, 6))):
+        for _ in range(r.choice((0, 1, 1, 2, 2, 4, 6))):
             item[r.randrange(len(item))] = r.choice(vocabulary)
         at = r.randint(0, len(t))
         docs.append(t[:at] + item[r.choice((0, 0, 3)) :] + t[at:])
@@ -372,10 +372,11 @@ def test_overlaps_against_brute_force(spark):
     for d, t in enumerate(docs):
         for i, item in enumerate(items):
             n = len(item)
-            if n < decontaminate.LEAST_WORDS:
+            if n < 5:  # only whole lines
+                want |= {(d, i)} if t == item else set()
                 continue
             run = min(decontaminate.RUN, n)
-            need = -(-8 * run // 10) if n >= decontaminate.SEEDED else n
+            need = -(-8 * run // 10)
             for start in range(-n, len(t)):
                 same = [0 <= start + k < len(t) and t[start + k] == w for k, w in enumerate(item)]
                 if max(sum(same[k : k + run]) for k in range(n - run + 1)) >= need:
@@ -394,6 +395,30 @@ def test_overlaps_against_brute_force(spark):
     assert {x.doc_id for x in left} == {k for k in range(len(docs)) if k not in {d for d, _ in want}} | {500}
 
 
+def test_masks_hit_every_substitution():
+    import itertools
+
+    for n in range(decontaminate.SHORT, decontaminate.RUN + 1):
+        masks = decontaminate.MASKS if n >= decontaminate.SEEDED else decontaminate.SHORT_MASKS
+        for gone in itertools.combinations(range(n), n - -(-8 * n // 10)):
+            assert any(all(at + o not in gone for o in m) for m in masks for at in range(n - m[-1])), (n, gone)
+
+
+def test_short_items_are_whole_lines(spark):
+    bench = spark.createDataFrame([(1, "Yes, it is."), (2, "no"), (3, "a b c d e"), (3, "a b c d e"), (4, " "), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so\n yes it is!\nmore", 5), (2, "yes it is so", 5), (3, "no", 5), (3, "no", 5), (4, "no no", 5), (5, "x a b z d e", 5), (6, "a b z d", 5), (None, "first line\n\nNo.\nno", 5), (8, "\n", 5)], "doc_id long, text string, item_id int")
+    for limit in (decontaminate.BROADCAST_CHARS, -1):
+        keep, decontaminate.BROADCAST_CHARS = decontaminate.BROADCAST_CHARS, limit
+        try:
+            got = decontaminate.overlaps(docs, bench).collect()
+        finally:
+            decontaminate.BROADCAST_CHARS = keep
+        assert {(x.doc_id, x.item_id, x.start_word, x.matched) for x in got} == {(1, 1, 1, 3), (3, 2, 0, 1), (5, 3, 1, 4), (None, 2, 2, 1)} and len(got) == 4
+    long = spark.createDataFrame([(1, "w " * 200_000 + " ".join(f"q{k}" for k in range(20)) + " w" * 200_000)], "doc_id long, text string")
+    item = spark.createDataFrame([(7, " ".join(f"q{k}" if k != 9 else "other" for k in range(20)))], "item_id long, text string")
+    assert [(x.start_word, x.agreed) for x in decontaminate.overlaps(long, item).collect()] == [(200_000, 19)]
+
+
 # --- media ---
 
 
