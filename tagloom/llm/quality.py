@@ -2,7 +2,10 @@
 
 Every line is good or bad; its features are its own and those of its neighbours. The
 field learns from documents' labels, which all lines of a document share, on a bounded
-sample of labelled rows. A document's quality is the mean of its lines' marginals from
+sample of labelled rows, read whole. The objective is one: the mean over documents of
+the log likelihood of a document's line labels divided by its lines, less a quadratic
+penalty, with transition scores between -2 and 2, as labels that never change inside a
+document would otherwise drive them without bound. A document's quality is the mean of its lines' marginals from
 the forward-backward pass, weighted by line length and calibrated by a logistic curve.
 """
 
@@ -20,9 +23,9 @@ from tagloom.llm.common import arrow_map, texts_of
 
 #: Labelled documents that the fit reads at most, those with the smallest hash of their id.
 FIT_DOCS = 4000
-#: Characters of one document that the fit reads at most; scoring reads all of each text.
-FIT_CHARS = 20_000
 THRESHOLD = 0.7
+#: Transition scores lie within this of 0.
+MOST_TRANS = 2.0
 _CLASSES = 9
 
 
@@ -99,10 +102,11 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, left, right, whole], axis=1), count, np.array([max(1, len(x)) for x in flat], float)
 
 
-def marginals(unary: np.ndarray, count: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(unary: np.ndarray, count: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probability of good by line, log partition by text, expected transitions (summed) of a two-state chain.
 
-    unary: score of good by line (bad has 0); trans: 2 x 2 scores, state before and after.
+    unary: score of good by line (bad has 0); trans: 2 x 2 scores, state before and after;
+    weight: by text, what its transitions count in the sum (1).
     """
     first = np.cumsum(count) - count
     order = np.argsort(-count, kind="stable")
@@ -130,10 +134,11 @@ def marginals(unary: np.ndarray, count: np.ndarray, trans: np.ndarray) -> tuple[
     inner[np.cumsum(count) - count] = False
     at = np.flatnonzero(inner)
     z = np.repeat(log_z, count)[at]
+    each = np.repeat(np.ones(len(count)) if weight is None else weight, count)[at]
     expected = np.zeros((2, 2))
     for a in range(2):
         for b in range(2):
-            expected[a, b] = np.exp(alpha[at - 1, a] + trans[a, b] + score[at, b] + beta[at, b] - z).sum()
+            expected[a, b] = np.exp(alpha[at - 1, a] + trans[a, b] + score[at, b] + beta[at, b] - z) @ each
     return good, log_z, expected
 
 
@@ -153,9 +158,11 @@ class Field:
         x, count, size = line_features(texts)
         return marginals((x - self.mean) / self.scale @ self.weights, count, self.trans)[0], count, size
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score, good lines and bad lines of each text."""
         good, count, size = self.lines(texts)
-        return 1 / (1 + np.exp(-(self.slope * pooled(good, count, size) + self.offset)))
+        n_good = np.add.reduceat((good > 0.5).astype(np.int64), np.cumsum(count) - count)
+        return 1 / (1 + np.exp(-(self.slope * pooled(good, count, size) + self.offset))), n_good, count - n_good
 
 
 def pooled(good: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -165,33 +172,36 @@ def pooled(good: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def objective(theta: np.ndarray, x: np.ndarray, count: np.ndarray, labels: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """What `fit` minimises, and its gradient; theta is the weights of good, then the four transition scores."""
+    w, trans = theta[:-4], theta[-4:].reshape(2, 2)
+    y, weight = np.repeat(labels, count), 1 / count
+    each = np.repeat(weight, count)
+    unary = x @ w
+    good, log_z, expected = marginals(unary, count, trans, weight)
+    same = np.diag([((1 - labels) * (count - 1)) @ weight, (labels * (count - 1)) @ weight])
+    likelihood = (unary * y) @ each + (trans * same).sum() - log_z @ weight
+    grad = np.concatenate([x.T @ ((good - y) * each), (expected - same).ravel()]) / len(count) + l2 * theta
+    return -likelihood / len(count) + l2 / 2 * float(theta @ theta), grad
+
+
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam on all texts; one label alone, or no text, gives a constant score."""
+    """Penalised maximum likelihood by Adam on all texts; one label alone, or no text, gives a constant score."""
     labels = np.asarray(labels, float)
     if not len(texts) or labels.min() == labels.max():
         width = line_features([""])[0].shape[1]
         return Field(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, 2.0 if len(labels) == 0 or labels[0] else -2.0)
-    x, count, size = line_features([t[:FIT_CHARS] for t in texts])
+    x, count, size = line_features(texts)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[-1], scale[scale < 1e-9] = 0.0, 1.0
     x = (x - mean) / scale
-    y = np.repeat(labels, count)
-    # documents weigh alike, however many lines they have
-    weight = np.repeat(1 / count, count)
-    same = np.zeros((2, 2))
-    same[1, 1], same[0, 0] = (labels * (count - 1)).sum(), ((1 - labels) * (count - 1)).sum()
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
-        w, trans = theta[:-4], theta[-4:].reshape(2, 2)
-        good, _, expected = marginals(x @ w, count, trans)
-        grad_w = x.T @ ((good - y) * weight) / len(count) + l2 * w
-        grad_t = (expected - same) / len(x) + l2 * trans
-        g = np.concatenate([grad_w, grad_t.ravel()])
+        _, g = objective(theta, x, count, labels, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        # transitions stay mild, so that one bad line doesn't turn a whole document
-        theta[-4:] = np.clip(theta[-4:], -2, 2)
+        theta[-4:] = np.clip(theta[-4:], -MOST_TRANS, MOST_TRANS)
     w, trans = theta[:-4], theta[-4:].reshape(2, 2)
     z = pooled(marginals(x @ w, count, trans)[0], count, size)
     slope, offset = 1.0, 0.0
@@ -216,26 +226,28 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Fiel
     """Fit on at most fit_docs labelled rows that aren't held out."""
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).dropna().where(~held_out("_id")).groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(fit_docs)
-    # at most fit_docs rows of two numbers
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS).alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", "_text").dropDuplicates(["_id"]).orderBy("_id").collect()
+    # at most fit_docs rows of two numbers are broadcast, and as many whole texts are read
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", "_text").dropDuplicates(["_id"]).orderBy("_id").collect()
     return fit([r._text for r in rows], np.array([r._y for r in rows]))
 
 
 def score(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
     """Quality of each document, one output row per input row.
 
-    Null and empty texts get a score like any other; a null id is not held out; repeated
-    rows are repeated; columns besides doc_id, text and `keep` are ignored.
+    Result: doc_id, held_out, score, predicted, n_good_lines, n_bad_lines (lines by their
+    own marginal; an empty text is one line), `keep`. Null and empty texts get a score like
+    any other; a null id is not held out; repeated rows are repeated; columns besides
+    doc_id, text and `keep` are ignored.
     """
     keep = keep or []
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double, predicted int, n_good_lines long, n_bad_lines long" + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            s = field.scores(texts_of(b.column(2)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), *[b.column(3 + k) for k in range(len(keep))]], names=["doc_id", "held_out", "score", "predicted", *keep])
+            s, n_good, n_bad = field.scores(texts_of(b.column(2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(n_good, pa.int64()), pa.array(n_bad, pa.int64()), *[b.column(3 + k) for k in range(len(keep))]], names=["doc_id", "held_out", "score", "predicted", "n_good_lines", "n_bad_lines", *keep])
 
     return arrow_map(docs.select(docs["doc_id"], held_out("doc_id").alias("_held"), docs["text"].alias("_text"), *[docs[c].alias(f"_k_{c}") for c in keep]), run, schema)

@@ -511,6 +511,46 @@ def test_marginals_are_exact():
     assert np.allclose(expected, seen)
 
 
+def test_quality_objective_is_one_likelihood():
+    """The value against enumeration of all labellings, the gradient against differences of the value."""
+    import itertools
+
+    r = np.random.default_rng(5)
+    count, labels = np.array([1, 4, 3, 2]), np.array([1.0, 0.0, 1.0, 0.0])
+    x, theta = r.normal(size=(10, 3)), r.normal(size=7) / 2
+    want, at = 0.0, 0
+    for n, y in zip(count, labels, strict=True):
+        logs = {ys: sum(x[at + k] @ theta[:3] * v for k, v in enumerate(ys)) + sum(theta[3 + 2 * a + b] for a, b in zip(ys, ys[1:], strict=False)) for ys in itertools.product((0, 1), repeat=int(n))}
+        want -= (logs[(int(y),) * int(n)] - np.log(sum(np.exp(list(logs.values()))))) / n / len(count)
+        at += n
+    value, grad = quality.objective(theta, x, count, labels, 0.3)
+    assert np.isclose(value, want + 0.15 * theta @ theta)
+    for k in range(len(theta)):
+        step = np.eye(len(theta))[k] * 1e-5
+        up, down = (quality.objective(theta + d, x, count, labels, 0.3)[0] for d in (step, -step))
+        assert np.isclose((up - down) / 2e-5, grad[k], atol=1e-6)
+
+
+def test_quality_scores_against_plain_code():
+    """A document's score from line marginals that are enumerated."""
+    import itertools
+    import math
+
+    field = quality.fit(["good text here. it goes on.\nand on it goes.", "BAD!! BAD!!\n$$ $$", "fine words, more words.", "X!! Y!!"] * 5, np.array([1, 0, 1, 0] * 5))
+    for text in ("some words\nBAD!!\nfine, it goes", "", "a\n\nb", "X!! " * 9):
+        x, count, _ = quality.line_features([text])
+        unary = (x - field.mean) / field.scale @ field.weights
+        mass, total = np.zeros(count[0]), 0.0
+        for ys in itertools.product((0, 1), repeat=int(count[0])):
+            w = math.exp(sum(u * y for u, y in zip(unary, ys, strict=True)) + sum(field.trans[a, b] for a, b in zip(ys, ys[1:], strict=False)))
+            mass, total = mass + w * np.array(ys), total + w
+        size = np.array([max(1, len(line)) for line in text.split("\n")])
+        p = min(max(float((mass / total) @ size / size.sum()), 1e-6), 1 - 1e-6)
+        score, n_good, n_bad = field.scores([text])
+        assert np.isclose(score[0], 1 / (1 + math.exp(-(field.slope * math.log(p / (1 - p)) + field.offset))))
+        assert (n_good[0], n_bad[0]) == (sum(mass / total > 0.5), sum(mass / total <= 0.5))
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -525,6 +565,7 @@ def test_quality_awkward(awkward):
     got = quality.score(awkward, field).collect()
     assert len(got) == awkward.count() and all(0 <= x.score <= 1 for x in got)
     assert not any(x.held_out for x in got if x.doc_id is None)
+    assert all(x.n_good_lines + x.n_bad_lines == (AWKWARD[x.doc_id] or "").count("\n") + 1 for x in got if x.doc_id is not None)
 
 
 # --- licenses ---
