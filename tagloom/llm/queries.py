@@ -29,7 +29,7 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = secrets.scan(docs, repo=F.concat(docs["source"], F.lit("/"), docs["lang"]))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "max_owners")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "max_owners", "max_repos")
 
 
 ORACLE_SQL["op1_secret_scan"] = secrets.oracle()

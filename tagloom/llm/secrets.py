@@ -2,9 +2,10 @@
 
 Spans are found per document by regular expressions; positions come from the lengths
 of the pieces between matches. Each candidate value is hashed, and the corpus counts
-the distinct owners and repositories that hold the hash: a value of one owner is
-live-looking, one that many owners hold is a copied example. Opaque tokens, which no
-keyword announces, count as secrets only if they are live-looking.
+the distinct owners and repositories that hold the hash: a value that many owners hold,
+or that stands in many repositories of however few owners, is a copied example; one of a
+single owner that isn't copied so is live-looking. Opaque tokens, which no keyword
+announces, count as secrets only if they are live-looking.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ ADDED = (
 KINDS = (*BASE, *ADDED)
 #: Any text that holds a span matches this.
 ANY = rf"""(?:{_KEYS})["']?\x20*[:=]|AKIA[A-Z0-9]{{16}}|-----BEGIN |[A-Za-z0-9+/_-]{{20}}|eyJ[A-Za-z0-9_-]{{8,}}\."""
-#: Owners up to which a value looks live, and from which it is a copied example.
-LIVE_OWNERS, EXAMPLE_OWNERS = 1, 3
+#: Owners up to which a value looks live, and from which it is a copied example, as it is from so many repositories on.
+LIVE_OWNERS, EXAMPLE_OWNERS, EXAMPLE_REPOS = 1, 3, 5
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,hash:string>>"
 
@@ -60,6 +61,14 @@ def _spans(text: Column, rank: int) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(steps, zero, step)["out"]).otherwise(F.array().cast(_SPAN))
 
 
+def _example(s: Column) -> Column:
+    return (s["owners"] >= EXAMPLE_OWNERS) | (s["repos"] >= EXAMPLE_REPOS)
+
+
+def _live(s: Column) -> Column:
+    return (s["owners"] <= LIVE_OWNERS) & ~_example(s)
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -71,7 +80,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     repository. Repeated rows are repeated in the result and count once for frequency.
     `repo` is a column of the repository, by default the owner. Columns of `keep` pass
     through; others are ignored. Result: doc_id, n_assign, n_access, n_hex, base_sha256,
-    spans, n_live, n_example, max_owners, live (array of spans to act on), kept columns;
+    spans, n_live, n_example, max_owners, max_repos, live (array of spans to act on), kept columns;
     `redacted` adds the text with those spans replaced.
     """
     spark, keep = docs.sparkSession, keep or []
@@ -88,31 +97,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     each = found.select("_row", "_owner", "_repo", F.explode("_spans").alias("_s")).select("_row", "_owner", "_repo", "_s", F.col("_s.hash").alias("_hash"))
     # distinct first, so that a value that a third of all rows hold is a few rows before it is counted
     stats = each.select("_hash", "_owner", "_repo").distinct().groupBy("_hash", "_owner").agg(F.count("*").alias("_repos")).groupBy("_hash").agg(F.count("*").alias("_owners"), F.sum("_repos").alias("_repos"))
+    # written first, so that the value that a third of all rows hold is dealt anew where it is joined
+    stats = scratch.table(stats, "stats")
     judged = each.join(stats, "_hash").select("_row", F.struct("_s.start", "_s.rank", "_s.end", "_s.kind", F.col("_owners").alias("owners"), F.col("_repos").alias("repos")).alias("_s"))
     per_row = judged.groupBy("_row").agg(F.array_sort(F.collect_list("_s")).alias("_judged"))
     full = found.join(per_row, "_row", "left")
 
     base = F.filter("_spans", lambda s: s["rank"] < len(BASE))
     judged_all = F.coalesce(F.col("_judged"), F.expr("array()").cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,owners:bigint,repos:bigint>>"))
-    shown = F.filter(judged_all, lambda s: (s["kind"] != "opaque") | (s["owners"] <= LIVE_OWNERS))
-    live = F.filter(judged_all, lambda s: s["owners"] < EXAMPLE_OWNERS)
+    shown = F.filter(judged_all, lambda s: (s["kind"] != "opaque") | _live(s))
     count = lambda k: F.size(F.filter("_spans", lambda s: s["rank"] == k)).cast("long")
-    acted = F.filter(live, lambda s: (s["kind"] != "opaque") | (s["owners"] <= LIVE_OWNERS))
+    acted = F.filter(shown, lambda s: ~_example(s))
     dirty = full.select(
         F.col("_id").alias("doc_id"),
         *[count(k).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE))],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(shown).alias("spans"),
-        F.size(F.filter(judged_all, lambda s: s["owners"] <= LIVE_OWNERS)).cast("long").alias("n_live"),
-        F.size(F.filter(judged_all, lambda s: s["owners"] >= EXAMPLE_OWNERS)).cast("long").alias("n_example"),
+        F.size(F.filter(judged_all, _live)).cast("long").alias("n_live"),
+        F.size(F.filter(judged_all, _example)).cast("long").alias("n_example"),
         F.coalesce(F.array_max(F.transform(judged_all, lambda s: s["owners"])), F.lit(0)).cast("long").alias("max_owners"),
+        F.coalesce(F.array_max(F.transform(judged_all, lambda s: s["repos"])), F.lit(0)).cast("long").alias("max_repos"),
         acted.alias("live"),
         *([redact(F.col("_text"), acted).alias("redacted")] if redacted else []),
         *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)],
     )
     zero = F.lit(0).cast("long")
     clean = src.where(~hit).select(
-        F.col("_id").alias("doc_id"), *[zero.alias(f"n_{k[0]}") for k in BASE], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_live"), zero.alias("n_example"), zero.alias("max_owners"), F.expr("array()").cast(dirty.schema["live"].dataType).alias("live"), *([F.col("_text").alias("redacted")] if redacted else []), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
+        F.col("_id").alias("doc_id"), *[zero.alias(f"n_{k[0]}") for k in BASE], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_live"), zero.alias("n_example"), zero.alias("max_owners"), zero.alias("max_repos"), F.expr("array()").cast(dirty.schema["live"].dataType).alias("live"), *([F.col("_text").alias("redacted")] if redacted else []), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
     )
     return dirty.unionByName(clean)
 
@@ -141,13 +152,14 @@ def oracle(table: str = "documents") -> str:
     return f"""
 WITH t AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(source, '') AS owner, coalesce(source || '/' || lang, '') AS repo, coalesce(text, '') AS txt FROM {table}),
 s AS ({" UNION ALL ".join(parts)}),
-o AS (SELECT hash, count(DISTINCT owner) AS owners FROM s GROUP BY hash),
-j AS (SELECT s.*, owners FROM s JOIN o USING (hash)),
+o AS (SELECT hash, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM s GROUP BY hash),
+g AS (SELECT *, owners >= {EXAMPLE_OWNERS} OR repos >= {EXAMPLE_REPOS} AS example FROM o),
+j AS (SELECT s.*, owners, repos, example, owners <= {LIVE_OWNERS} AND NOT example AS live FROM s JOIN g USING (hash)),
 a AS (SELECT row_no,
   count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}), '') AS base,
-  coalesce(string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) FILTER (kind <> 'opaque' OR owners <= {LIVE_OWNERS}), '') AS spans,
-  count(*) FILTER (owners <= {LIVE_OWNERS}) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example, max(owners) AS max_owners FROM j GROUP BY row_no)
+  coalesce(string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) FILTER (kind <> 'opaque' OR live), '') AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example, max(owners) AS max_owners, max(repos) AS max_repos FROM j GROUP BY row_no)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example, coalesce(max_owners, 0)::BIGINT AS max_owners
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example, coalesce(max_owners, 0)::BIGINT AS max_owners, coalesce(max_repos, 0)::BIGINT AS max_repos
 FROM t LEFT JOIN a USING (row_no)"""
