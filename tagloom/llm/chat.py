@@ -4,8 +4,9 @@ A small sandboxed template language is tokenized, parsed into a syntax tree, fol
 where all parts are constant, and compiled into Python closures. A template knows
 only its variables and a fixed set of filters; it can't call methods or reach
 attributes of Python objects. Rendering is lazy: it yields pieces of text with a flag
-that tells whether they lie in a generation block, so a conversation of any length is
-formatted turn by turn.
+that tells whether they lie in a generation block. A template that runs over the messages
+once, and else asks for the first one alone, gets them as they are read, so a
+conversation of any length is formatted; for other templates a conversation is held.
 
     {{ expression }}   {% for x in expression %} ... {% endfor %}   {% set x = expression %}
     {% if expression %} ... {% elif expression %} ... {% else %} ... {% endif %}
@@ -18,9 +19,10 @@ Expressions have strings, integers, true, false, none, names, x.field, x['field'
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 from functools import lru_cache
 from typing import Any
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import arrow_map
+from tagloom.llm.common import BATCH_ROWS, arrow_map
 
 Piece = tuple[str, bool]
 
@@ -361,6 +363,8 @@ def _value(node: Any) -> Callable[[Scope], Any]:
             holder, k = of(scope), key(scope)
             if isinstance(holder, dict):
                 return holder.get(k)
+            if isinstance(holder, Turns):
+                return holder.first() if k == 0 else None
             if isinstance(holder, (list, tuple, str)) and isinstance(k, int):
                 return holder[k] if -len(holder) <= k < len(holder) else None
             return None  # nothing of a Python object can be reached
@@ -399,8 +403,8 @@ def _pieces(node: Any) -> Callable[[Scope, bool], Iterator[Piece]]:
         over, body, name = _value(node.over), _pieces(node.body), node.name
 
         def loop(scope: Scope, flag: bool) -> Iterator[Piece]:
-            for k, x in enumerate(over(scope) or ()):
-                yield from body(scope | {name: x, "loop": {"index0": k, "index": k + 1, "first": k == 0}}, flag)
+            for k, (x, last) in enumerate(_marked(over(scope) or ())):
+                yield from body(scope | {name: x, "loop": {"index0": k, "index": k + 1, "first": k == 0, "last": last}}, flag)
 
         return loop
     parts = [_pieces(p) for p in node.parts]
@@ -412,6 +416,53 @@ def _pieces(node: Any) -> Callable[[Scope, bool], Iterator[Piece]]:
     return block
 
 
+class Turns:
+    """Messages that can be run over once, and whose first can be looked at before."""
+
+    def __init__(self, messages: Iterable[dict[str, str]]):
+        self.rest, self.head = iter(messages), []
+
+    def first(self) -> dict[str, str] | None:
+        if not self.head:
+            self.head = list(itertools.islice(self.rest, 1))
+        return self.head[0] if self.head else None
+
+    def __iter__(self) -> Iterator[dict[str, str]]:
+        return itertools.chain([m] if (m := self.first()) is not None else [], self.rest)
+
+
+def _marked(items: Iterable[Any]) -> Iterator[tuple[Any, bool]]:
+    """Items and whether they are the last."""
+    items = iter(items)
+    for x in items:
+        for y in items:
+            yield x, False
+            x = y
+        yield x, True
+
+
+def in_order(source: str, name: str = "messages") -> bool:
+    """Whether a template runs over `name` once at most, outside of loops, and else takes its first item alone."""
+    runs = 0
+
+    def uses(node: Any, looping: bool) -> bool:
+        nonlocal runs
+        if isinstance(node, Name):
+            return node.name == name
+        if isinstance(node, Item) and node.of == Name(name) and node.key == Const(0):
+            return False
+        if isinstance(node, For):
+            mine = node.over == Name(name)
+            runs += mine
+            return mine and looping or not mine and uses(node.over, looping) or uses(node.body, True)
+        if isinstance(node, (tuple, list)):
+            return any([uses(x, looping) for x in node])
+        return is_dataclass(node) and any([uses(getattr(node, f.name), looping) for f in fields(node)])
+
+    other = uses(fold(parse(source)), False)
+    return not other and runs <= 1
+
+
 @lru_cache(maxsize=32)
 def compile_template(source: str) -> Callable[[dict[str, Any]], Iterator[Piece]]:
     """A function from variables to the pieces of the rendered text and their generation flags."""
@@ -433,44 +484,99 @@ def render(source: str, **variables: Any) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
-_TURN = re.compile(r"<\|role\|>(.*?)<\|turn\|>(.*?)<\|end\|>\n", re.S)
+@dataclass(frozen=True)
+class Format:
+    """A template and how to read turns back from what it renders.
+
+    turn is a pattern with groups `role` and `text`, both escaped as by the filter escape;
+    end is the mark that ends each turn; other is a pattern of what may stand between turns.
+    """
+
+    template: str
+    turn: str
+    end: str
+    other: str = r"(?!)"
+
+
+STANDARD = Format(CHAT, r"<\|role\|>(?P<role>.*?)<\|turn\|>(?P<text>.*?)<\|end\|>\n", "<|end|>\n")
+
+
+class Reader:
+    """Reads roles and texts back from rendered pieces; holds one turn."""
+
+    def __init__(self, fmt: Format):
+        self.end, self.unit, self.held, self.tail = fmt.end, re.compile(f"{fmt.turn}|{fmt.other}", re.S), [], ""
+
+    def add(self, piece: str) -> Iterator[tuple[str, str]]:
+        self.held.append(piece)
+        near = self.tail + piece
+        self.tail = near[-(len(self.end) - 1) :] if len(self.end) > 1 else ""
+        if self.end in near:
+            yield from self._read("".join(self.held), False)
 
+    def close(self) -> Iterator[tuple[str, str]]:
+        yield from self._read("".join(self.held), True)
 
-def read_back(formatted: str) -> Iterator[tuple[str, str]]:
-    """Roles and texts of what CHAT rendered."""
-    at = 0
-    while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+    def _read(self, text: str, whole: bool) -> Iterator[tuple[str, str]]:
+        at = 0
+        while at < len(text) and (m := self.unit.match(text, at)) and m.end() > at:
+            if m["role"] is not None:
+                yield unescape(m["role"]), unescape(m["text"])
+            at = m.end()
+        if whole and at < len(text):
             raise ValueError("not a formatted conversation")
-        yield unescape(m[1]), unescape(m[2])
-        at = m.end()
+        self.held = [text[at:]]
+
+
+def read_back(formatted: str, fmt: Format = STANDARD) -> Iterator[tuple[str, str]]:
+    """Roles and texts of what a format rendered."""
+    reader = Reader(fmt)
+    yield from reader.add(formatted)
+    yield from reader.close()
 
 
 class _Digest:
-    """What is told about one conversation, read from its formatted turns."""
+    """What is told about one conversation, read from its formatted pieces."""
 
-    def __init__(self, conv_id: Any, keep_text: bool):
-        self.conv_id, self.turns, self.loss = conv_id, hashlib.sha256(), hashlib.sha256()
+    def __init__(self, conv_id: Any, fmt: Format, keep_text: bool):
+        self.conv_id, self.reader, self.turns, self.loss = conv_id, Reader(fmt), hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.masked: list[str] = []
         self.text: list[str] | None = [] if keep_text else None
         self.spans: list[tuple[int, int]] = []
 
-    def add(self, formatted: str, spans: list[tuple[int, int]]) -> None:
-        for role, text in read_back(formatted):
+    def add(self, piece: str, flag: bool) -> None:
+        if not piece:
+            return
+        if flag:
+            self.masked.append(piece)
+        else:
+            self._unmask()
+        self._turns(self.reader.add(piece))
+        self.formatted_chars += len(piece)
+        if self.text is not None:
+            self.text.append(piece)
+
+    def _turns(self, turns: Iterator[tuple[str, str]]) -> None:
+        for role, text in turns:
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             self.n_turns += 1
-        for a, b in spans:
-            said = unescape(formatted[a:b])
-            self.loss.update(said.encode("utf-8", "surrogatepass"))
-            self.loss_chars += len(said)
-            if self.text is not None:
-                self.spans.append((self.formatted_chars + a, self.formatted_chars + b))
-        self.formatted_chars += len(formatted)
+
+    def _unmask(self) -> None:
+        """Take up the masked stretch that ends here."""
+        if not self.masked:
+            return
+        masked = "".join(self.masked)
+        said = unescape(masked)
+        self.loss.update(said.encode("utf-8", "surrogatepass"))
+        self.loss_chars += len(said)
         if self.text is not None:
-            self.text.append(formatted)
+            self.spans.append((self.formatted_chars - len(masked), self.formatted_chars))
+        self.masked = []
 
     def row(self) -> tuple:
+        self._unmask()
+        self._turns(self.reader.close())
         out = (self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars)
         return out if self.text is None else (*out, "".join(self.text), [list(s) for s in self.spans])
 
@@ -479,41 +585,42 @@ class _Digest:
 PROBE = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
 
 
-def format_conversations(conversations: DataFrame, with_text: bool = False) -> DataFrame:
-    """Format each conversation with CHAT and describe what is read back from it, one row per conv_id.
+def format_conversations(conversations: DataFrame, fmt: Format = STANDARD, with_text: bool = False) -> DataFrame:
+    """Format each conversation whole with a format's template and describe what is read back from it, one row per conv_id.
 
     Turns are ordered by turn, then role and text; null turns come first; null roles and
-    texts count as empty; repeated rows are repeated turns. Rows without conv_id are one
-    conversation with a null id. Turns are streamed, so a conversation may be of any
-    length; with_text adds `formatted` and `loss_spans`, which then must fit in memory.
+    texts count as empty; repeated rows are repeated turns. Each row without conv_id is a
+    conversation of its own, with a null id. Other columns are ignored. With a template that
+    takes messages in order they are streamed, so a conversation may be of any length;
+    other templates, and with_text, which adds `formatted` and `loss_spans`, hold it in memory.
     """
     spark = conversations.sparkSession
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    ordered = rows.withColumn("_alone", alone).repartition(n, "conv_id", "_alone").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     if with_text:
         kinds += [("formatted", pa.string()), ("loss_spans", pa.list_(pa.list_(pa.int64())))]
         schema += ", formatted string, loss_spans array<array<long>>"
+    hold: Callable[[Iterable], Any] = Turns if in_order(fmt.template) else list
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, (_, t) in enumerate(kinds)], names=[c for c, _ in kinds])
 
-        now: _Digest | None = None
-        for b in batches:
-            done = []
-            for conv_id, role, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if now is None or now.conv_id != conv_id:
-                    if now is not None:
-                        done.append(now.row())
-                    now = _Digest(conv_id, with_text)
-                # turn by turn: the template's pieces don't depend on other turns
-                now.add(*render(CHAT, messages=[{"role": role, "text": text}]))
-            yield batch(done)
-        if now is not None:
-            yield batch([now.row()])
+        template, done = compile_template(fmt.template), []
+        turns = itertools.chain.from_iterable(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for b in batches)
+        for (conv_id, _), group in itertools.groupby(enumerate(turns), lambda x: (x[1][0], x[0] if x[1][0] is None else 0)):
+            now = _Digest(conv_id, fmt, with_text)
+            for piece, flag in template({"messages": hold({"role": role, "text": text} for _, (_, role, text) in group)}):
+                now.add(piece, flag)
+            done.append(now.row())
+            if len(done) >= BATCH_ROWS or with_text:
+                yield batch(done)
+                done = []
+        yield batch(done)
 
     return arrow_map(ordered, run, schema)
 

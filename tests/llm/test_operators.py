@@ -83,6 +83,17 @@ def test_secret_ownership(spark):
     assert all(x.redacted == shared for x in got if x.doc_id < 5)
 
 
+def test_secret_repositories(spark):
+    """A value of few owners is an example once many repositories hold it."""
+    from pyspark.sql import functions as F
+
+    few, many = f"token = {KEY}", "token = fedcba9876543210fedcba9876543210"
+    data = [(k, few, "s0", f"r{k}") for k in range(3)] + [(10 + k, many, f"s{k % 2}", f"r{k // 2}") for k in range(6)]
+    got = secrets.scan(spark.createDataFrame(data, "doc_id long, text string, source string, repo string"), repo=F.col("repo")).collect()
+    assert {(x.max_owners, x.max_repos, x.n_live > 0, x.n_example > 0) for x in got if x.doc_id < 10} == {(1, 3, True, False)}
+    assert {(x.max_owners, x.max_repos, x.n_live > 0, x.n_example > 0) for x in got if x.doc_id >= 10} == {(2, 6, False, True)}
+
+
 def test_secrets_awkward(awkward):
     got = secrets.scan(awkward).collect()
     assert len(got) == awkward.count()
@@ -282,6 +293,38 @@ def test_chat_round_trip(spark):
         assert "".join(chat.unescape(x.formatted[a:b]) for a, b in x.loss_spans) == loss
 
 
+OTHER = (
+    "{% if messages[0].role == 'system' %}<<SYS>>{{ messages[0].text | escape }}<</SYS>>{{ '\\n' }}{% endif %}"
+    "{% for m in messages %}{% if loop.first %}<s>{% endif %}[INST]{{ m.role | escape }}[/INST]{% generation %}{% if m.role == 'assistant' %}{{ m.text | escape }}{% endif %}{% endgeneration %}"
+    "{% if m.role != 'assistant' %}{{ m.text | escape }}{% endif %}</s>{% if loop.last %}#{% endif %}{% endfor %}"
+)
+
+
+def test_chat_with_another_template(spark):
+    """First-turn rules, a system prompt and loop state over whole conversations; extra columns; repeated rows; a null id; a very long conversation."""
+    fmt = chat.Format(OTHER, r"(?:<s>)?\[INST\](?P<role>.*?)\[/INST\](?P<text>.*?)</s>", "</s>", r"<<SYS>>.*?<</SYS>>\n|#")
+    assert chat.in_order(OTHER) and chat.in_order(chat.CHAT)
+    held = "{% set n = messages[1] %}" + OTHER
+    assert not chat.in_order(held) and not chat.in_order("{% for m in messages %}{% for k in messages %}{% endfor %}{% endfor %}") and not chat.in_order("{% if messages %}x{% endif %}")
+    data = [(1, 0, "system", "be <s> good"), (1, 1, "user", "hi"), (1, 2, "assistant", "[INST] no"), (2, 0, "user", "x" * 300_000), (2, 0, "user", "x" * 300_000), (2, 1, "assistant", "\\"), (None, 0, "user", "a"), (None, 0, "user", "a")]
+    data += [(3, k, ("user", "assistant")[k % 2], f"t{k}</s>") for k in range(5000)]
+    df = spark.createDataFrame([(*d, "z", 1) for d in data], "conv_id long, turn long, role string, text string, formatted string, n_turns long")
+    for f in (fmt, chat.Format(held, fmt.turn, fmt.end, fmt.other)):
+        got = chat.format_conversations(df, f, with_text=True).collect()
+        assert sorted((x.conv_id or 0, x.n_turns) for x in got) == [(0, 1), (0, 1), (1, 3), (2, 3), (3, 5000)]
+        for x in got:
+            turns = [("user", "a")] if x.conv_id is None else [d[2:4] for d in data if d[0] == x.conv_id]
+            marks = "".join(("<s>" if k == 0 else "") + f"[INST]{role}[/INST]{chat.escape(text)}</s>" + ("#" if k == len(turns) - 1 else "") for k, (role, text) in enumerate(turns))
+            assert x.formatted == ("<<SYS>>be <\\s> good<</SYS>>\n" if x.conv_id == 1 else "") + marks
+            assert list(chat.read_back(x.formatted, fmt)) == turns
+            assert x.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+            loss = "".join(b for a, b in turns if a == "assistant")
+            assert (x.loss_chars, x.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert "".join(chat.unescape(x.formatted[a:b]) for a, b in x.loss_spans) == loss
+    with pytest.raises(ValueError):
+        list(chat.read_back("[INST]user[/INST]", fmt))
+
+
 def test_template_language():
     assert chat.render("{% for m in ms %}{{ loop.index }}{{ m | upper }}{% if loop.first %}!{% endif %}{% endfor %}", ms=["a", "b"])[0] == "1A!2B"
     assert chat.render("{% set x = 'q' %}{{ x ~ (1 + 2) }}")[0] == "q3"
