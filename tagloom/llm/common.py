@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -24,10 +26,13 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) an own folder."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or where it is unset on a local master (tests) an own folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tagloom-")
@@ -95,10 +100,17 @@ def release(spark: SparkSession) -> None:
 @atexit.register
 def _clean() -> None:
     for spark, path in _scratch:
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            left = path.removeprefix("file://")
+            if os.path.isdir(left):  # the session is gone; the folder's name is our own
+                shutil.rmtree(left)
+            else:
+                print(f"scratch tables are left in {path}", file=sys.stderr)
+            continue
         try:
             remove(spark, path)
-        except Exception:  # the session is gone
-            return
+        except Exception as e:  # exit goes on, but what is left is told
+            print(f"scratch tables are left in {path}: {e}", file=sys.stderr)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

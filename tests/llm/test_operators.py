@@ -377,6 +377,46 @@ def test_token_shards(spark, awkward, monkeypatch):
         start += len(ids)
 
 
+def test_token_shards_fuzz(spark):
+    """Random mixtures of scripts, digits, marks, contractions and all kinds of white space against the library on whole texts."""
+    import tokenizers
+
+    r = random.Random(21)
+    bits = ["a", "The", " the", "ing", "n't", "'s", "'LL", "’s", "'", "1", "234", "½", "²", "٣", "é", "e\u0301", "ß", "日本", "ไทย", "हिन्दी", "🎉", "👩\u200d💻", "\u200b", "\ufeff", "\u00a0", "\u3000", "\u2028", "\x85", "\x1c", "\x00", "\t", "\n", "\r\n", "\n\n", " ", "  ", "   ", "_", "-", "...", "!?", "<|endoftext|>", "https://x.y/z?q=1", "\\", "ſ", "İ", "ǅ", "Ⅷ", "\U0001d400", "\ue000"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 40))) for _ in range(600)]
+    texts += ["".join(chr(r.choice((r.randrange(32, 0x2FF), r.randrange(0x300, 0xD7FF), r.randrange(0xE000, 0x1FFFF)))) for _ in range(30)) for _ in range(200)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    got = {x.doc_id: x for x in tokenshards.tokenize_to_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    start = 0
+    for k, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        x = got[k]
+        assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
+CLASHING = ["_id", "_row", "_text", "_words", "_iw", "_th", "_item", "_spans", "_hash", "_owner", "_repo", "_blocks", "_normal", "id", "n", "k1", "k2", "sig", "set", "key", "comp", "label", "chunks", "record", "digest", "_held", "component_id", "score", "predicted"]
+
+
+def test_columns_of_any_name(spark):
+    """Every operator on documents ignores other columns, whatever their names."""
+    from pyspark.sql import functions as F
+
+    texts = ["some words of a text, all rights reserved", f"token = {KEY}", None, "a b c d e f g h i j"]
+    plain = spark.createDataFrame(rows(*texts), SCHEMA).select("doc_id", "text", "source")
+    more = plain.select("*", *[F.lit(None if k % 2 else k).cast("int").alias(c) for k, c in enumerate(CLASHING)])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j", 5)], "item_id long, text string, _iw int")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for fn in (secrets.scan, neardup.near_duplicates, licenses.scan, media.media_columns, lambda d: decontaminate.overlaps(d, bench), lambda d: quality.score(d, quality.fit_on(d, labels)), lambda d: tokenshards.tokenize_to_shards(d, path), lambda d: bpe.encode_decode(d, public_tokenizers.path("word_bpe_49k.json"))):
+        a, b = fn(plain), fn(more)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert decontaminate.clean(more, bench).columns == more.columns and neardup.deduplicate(more).count() == 4
+
+
 def test_shard_lookup(tmp_path):
     r = np.random.default_rng(1)
     docs = {int(k): r.integers(0, 50_000, r.integers(0, 400)).astype(np.uint32) for k in np.unique(r.integers(-(10**12), 10**12, 500))}
