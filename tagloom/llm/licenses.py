@@ -5,7 +5,8 @@ over lines, the words on both sides of each line break, for each short template
 as it can have there. Short templates are notices, which lines and
 breaks are compared with; long ones are whole paragraphs of license texts, which lines
 and paragraphs are compared with, so that the common words of a long paragraph don't
-pass for a notice. The tokens of the templates are ordered by their frequency in the
+pass for a notice. A text is cut into blocks only if it has enough of some template as a
+whole, since its blocks can't have more. The tokens of the templates are ordered by their frequency in the
 whole corpus, rarest first. A block that holds at least the share THRESHOLD of a
 template's tokens must hold one of the template's first n - ceil(THRESHOLD * n) + 1
 tokens in that order (prefix filter), must have ceil(THRESHOLD * n) template words at
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,7 @@ PARAGRAPHS = (
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 THRESHOLD = 0.8
+_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAPS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -115,18 +118,17 @@ def _blocks(normal: Column, vocabulary: list[str], rows: list[tuple[int, str, li
     short = min(least(len(ws)) for _, _, ws, around in rows if around > 0)
     long = min(least(len(ws)) for _, _, ws, around in rows if around < 0)
     reach = sorted({around for *_, around in rows if around > 0})
-    block = lambda kind, ws: F.struct(F.lit(kind).alias("kind"), ws.alias("words"))
+    block = lambda kind, ws: F.struct((F.lit(kind) if isinstance(kind, int) else kind).alias("kind"), ws.alias("words"))
     many = lambda bs: F.filter(bs, lambda b: F.size(b["words"]) >= F.when(b["kind"] == _PARAGRAPH, long).otherwise(short))
     lines = lambda p: F.transform(F.split(p, "\n"), lambda x: block(_LINE, own(F.split(x, " "))))
-    near = lambda ws, i, n: F.slice(ws, F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n)) + n)
+    # a word before a break ends with a line feed; it goes after the few words are cut out, as a lambda computes anew what it names
+    near = lambda ws, i, n: F.transform(F.slice(ws, F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n) if isinstance(n, int) else n) + n), lambda w: F.rtrim(w, F.lit("\n")))
 
     def around(p: Column) -> Column:
-        # a word before a break ends with a line feed
         def at(ws: Column) -> Column:
-            plain = F.transform(ws, lambda w: F.rtrim(w, F.lit("\n")))
             breaks = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: F.endswith(F.element_at(ws, i), F.lit("\n")))
-            close = F.filter(breaks, lambda i: F.size(own(near(plain, i, reach[-1]))) >= short)
-            return F.flatten(F.transform(close, lambda i: F.array(*[block(n, own(near(plain, i, n))) for n in reach])))
+            close = F.filter(breaks, lambda i: F.size(own(near(ws, i, reach[-1]))) >= short)
+            return F.flatten(F.transform(close, lambda i: F.transform(F.array(*map(F.lit, reach)), lambda n: block(n, own(near(ws, i, n))))))
 
         return F.flatten(F.transform(F.array(F.split(F.replace(p, F.lit("\n"), F.lit("\n ")), " ")), at))
 
@@ -135,9 +137,12 @@ def _blocks(normal: Column, vocabulary: list[str], rows: list[tuple[int, str, li
         return F.when(F.contains(p, F.lit("\n")), F.concat(single, many(F.array(block(_PARAGRAPH, own(F.split(p, "[ \n]"))))))).otherwise(single)
 
     held = F.flatten(F.filter(F.transform(F.split(normal, "\n\n+"), of), lambda bs: F.size(bs) > 0))
-    # a text with fewer template words than any notice needs can hold none around a break
-    broken = F.contains(normal, F.lit("\n")) & (F.size(own(F.split(normal, "[ \n]"))) >= short)
-    return F.when(broken, F.concat(held, many(around(F.regexp_replace(normal, "\n+", "\n"))))).otherwise(held)
+    return F.when(F.contains(normal, F.lit("\n")), F.concat(held, many(around(F.regexp_replace(normal, "\n+", "\n"))))).otherwise(held)
+
+
+def _may_hold(own: Column, rows: list[tuple[int, str, list[str], int]]) -> Column:
+    """Whether a text with these template words has enough of any template: its blocks can't have more."""
+    return reduce(Column.__or__, [F.size(F.array_intersect(own, F.array(*map(F.lit, ws)))) >= least(len(ws)) for _, _, ws, _ in rows])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,17 +157,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = _template_rows()
     vocabulary = sorted({w for _, _, ws, _ in rows for w in ws})
 
-    normal = _normal(F.coalesce(docs[text_col], F.lit("")))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(normal, "\n+", " "), F.lit(" "))
-    src = docs.select(docs[id_col].alias("_id"), normal.alias("_normal"), spaced.alias("_spaced"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _GAPS, " ")), F.lit(" "))
+    src = docs.select(docs[id_col].alias("_id"), text.alias("_text"), spaced.alias("_spaced"))
+    src = src.select("*", F.array_distinct(F.filter(F.split("_spaced", " "), lambda w: w.isin(vocabulary))).alias("_own"))
     # texts are read once; row numbers are written with what was found, so that later stages and lost executors see the same ones
-    read = src.select("_id", _count_words(F.col("_spaced")).alias("n_words"), *[_places(F.col("_spaced"), p).alias(f"_p{k}") for k, (p, _) in enumerate(PHRASES)], _blocks(F.col("_normal"), vocabulary, rows).alias("_blocks"))
+    blocks = F.when(_may_hold(F.col("_own"), rows), _blocks(_normal(F.col("_text")), vocabulary, rows))
+    read = src.select("_id", "_own", _count_words(F.col("_spaced")).alias("n_words"), *[_places(F.col("_spaced"), p).alias(f"_p{k}") for k, (p, _) in enumerate(PHRASES)], blocks.alias("_blocks"))
     read = scratch.table(read.withColumn("_row", F.monotonically_increasing_id()), "read")
 
-    # corpus frequency: the number of blocks that hold the token
-    each = read.where(F.size("_blocks") > 0).select("_row", F.posexplode("_blocks").alias("_at", "_b")).select("_row", F.col("_b.kind").alias("_kind"), F.col("_b.words").alias("_words"))
-    counts = each.select(F.explode("_words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # corpus frequency: the number of texts that hold the token
+    counts = read.select(F.explode("_own").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     order = {r.token: (r.n, r.token) for r in counts.collect()}  # at most one row for each template word
+    each = read.where(F.size("_blocks") > 0).select("_row", F.explode("_blocks").alias("_b")).select("_row", F.col("_b.kind").alias("_kind"), F.col("_b.words").alias("_words"))
     by_rank = sorted(vocabulary, key=lambda w: order.get(w, (0, w)))
     rank = {w: k for k, w in enumerate(by_rank)}
     prefixes = []
@@ -184,7 +191,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     every = F.concat(*[f"_p{k}" for k in range(len(PHRASES))])
     named = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
-    out = read.drop("_blocks").join(per_row, "_row", "left")
+    out = read.drop("_blocks", "_own").join(per_row, "_row", "left")
     return out.select(
         F.col("_id").alias("doc_id"),
         "n_words",
