@@ -33,6 +33,13 @@ def events(spark: SparkSession, sf_dir: str) -> series.Source:
     return series.flat(df, "ts", F.col("value"), tags, HOUR)
 
 
+def cents(spark: SparkSession, sf_dir: str) -> series.Source:
+    """Events in whole hundredths, whose sums don't depend on order: for queries whose rounding or cells would."""
+    s = events(spark, sf_dir)
+    s.value = F.round(F.col("value") * 100)
+    return s
+
+
 def gauges(spark: SparkSession, sf_dir: str) -> series.Source:
     s = events(spark, sf_dir)
     s.tags |= {"dstype": F.lit("gauge")}
@@ -149,21 +156,23 @@ for _name, _program, _where in (
     ("not", "event_type,click,:eq,:not", "event_type <> 'click'"),
     ("not_missing", "nokey,x,:eq,:not", "true"),
 ):
-    add(f"query_{_name}", f"{_program},:count", f"WITH e AS ({event_rows(DAY, _where.replace('u >', 'CAST(user_id AS VARCHAR) >').replace('u IN', 'CAST(user_id AS VARCHAR) IN').replace('(u,', '(CAST(user_id AS VARCHAR),'))}) SELECT b AS ts, round(count(value) / 24.0, 6) AS value FROM e GROUP BY b", step=DAY)
+    add(f"query_{_name}", f"{_program},:count", f"WITH e AS ({event_rows(DAY, _where.replace('u >', 'CAST(user_id AS VARCHAR) >').replace('u IN', 'CAST(user_id AS VARCHAR) IN').replace('(u,', '(CAST(user_id AS VARCHAR),'))}) SELECT b AS ts, round(sum(n) / 24.0, 6) AS value FROM (SELECT b, event_type, user_id, count(DISTINCT ceil((epoch_us(ts) // 1000) / {HOUR}.0)) AS n FROM e WHERE value IS NOT NULL GROUP BY ALL) GROUP BY b", step=DAY)
 add("query_cq", f"{SUMS},user_id,1,:starts,:cq", by_type(where="starts_with(CAST(user_id AS VARCHAR), '1')") + typed("v", "a"))
 
 # --- data aggregates ---
 
-for _fn in ("sum", "count", "min", "max"):
-    add(f"data_{_fn}", f"name,events,:eq,:{_fn}", f"WITH e AS ({event_rows()}) SELECT b AS ts, round(CAST({_fn}(value) AS DOUBLE), 6) AS value FROM e GROUP BY b")
-    add(f"data_{_fn}_by", f"name,events,:eq,:{_fn},(,event_type,),:by", by_type(f"{_fn}(value)") + typed("v", "a"))
+#: :count is the number of series, here users by type, that have a value.
+LINES = "count(DISTINCT user_id) FILTER (value IS NOT NULL)"
+for _fn, _agg, _all in (("sum", "sum(value)", "sum(value)"), ("count", LINES, LINES.replace("user_id", "(event_type, user_id)")), ("min", "min(value)", "min(value)"), ("max", "max(value)", "max(value)")):
+    add(f"data_{_fn}", f"name,events,:eq,:{_fn}", f"WITH e AS ({event_rows()}) SELECT b AS ts, round(CAST({_all} AS DOUBLE), 6) AS value FROM e GROUP BY b")
+    add(f"data_{_fn}_by", f"name,events,:eq,:{_fn},(,event_type,),:by", by_type(_agg) + typed("v", "a"))
 add("data_by_two_keys", "name,events,:eq,:sum,(,event_type,user_id,),:by", f"WITH e AS ({event_rows(DAY)}) SELECT event_type, u AS user_id, b AS ts, round(sum(value) / 24, 6) AS value FROM e GROUP BY ALL", step=DAY)
 add("data_by_missing_key", "name,events,:eq,:sum,(,nokey,),:by", "SELECT CAST(NULL AS VARCHAR) AS nokey, CAST(0 AS BIGINT) AS ts, CAST(0 AS DOUBLE) AS value WHERE false")
 add("data_no_match_is_one_line", "name,none,:eq,:sum,1,:gt", f"SELECT unnest(range({E0}, {E1}, {HOUR})) AS ts, 0.0::DOUBLE AS value", dense=True)
 add("data_offset", f"{SUMS},1d,:offset", f"WITH e AS ({event_rows(start=E0 - DAY, end=E1 - DAY)}) SELECT event_type, b + {DAY} AS ts, round(sum(value), 6) AS value FROM e GROUP BY ALL")
 
 
-@register("data_all", f"WITH e AS ({event_rows(where='user_id < 20')}) SELECT '{{\"event_type\":\"' || event_type || '\",\"name\":\"events\",\"user_id\":\"' || u || '\"}}' AS tags, b AS ts, round(sum(value), 6) AS value FROM e GROUP BY ALL")
+@register("data_all", f"WITH e AS ({event_rows()}) SELECT '{{\"event_type\":\"' || event_type || '\",\"name\":\"events\",\"user_id\":\"' || u || '\"}}' AS tags, b AS ts, round(sum(value), 6) AS value FROM e GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compiler.evaluate(spark, events(spark, sf_dir), "name,events,:eq,:all", E0, E1)
     return out.select(F.to_json("tags").alias("tags"), "ts", F.round("value", 6).alias("value"))
@@ -188,7 +197,7 @@ add("math_clamp_max", f"{SUMS},100,:clamp-max", by_type() + typed("CASE WHEN v >
 add("math_cos", f"{SUMS},:cos", by_type() + typed("sin(pi() / 2 - coalesce(v, 0))"))
 for _op, _sql in (("tan", "CASE WHEN c <> 0 THEN s / c END"), ("cot", "CASE WHEN s <> 0 THEN c / s END"), ("sec", "CASE WHEN c <> 0 THEN 1 / c END"), ("csc", "CASE WHEN s <> 0 THEN 1 / s END")):
     _src = "d" if _op == "sec" else "a"
-    add(f"math_{_op}", f"name,events,:eq,:count,(,event_type,),:by,:{_op}", by_type("count(value)") + f"SELECT event_type, ts, round({_sql}, 6) AS value FROM (SELECT event_type, ts, sin(v) AS s, sin(pi() / 2 - coalesce(v, 0)) AS c FROM {_src}) WHERE ({_sql}) IS NOT NULL")
+    add(f"math_{_op}", f"name,events,:eq,:count,(,event_type,),:by,:{_op}", by_type(LINES) + f"SELECT event_type, ts, round({_sql}, 6) AS value FROM (SELECT event_type, ts, sin(v) AS s, sin(pi() / 2 - coalesce(v, 0)) AS c FROM {_src}) WHERE ({_sql}) IS NOT NULL")
 _GRID = f"SELECT ts, round(CAST({{}} AS DOUBLE), 6) AS value FROM (SELECT unnest(range({E0}, {E1}, {HOUR})) AS ts)"
 add("math_const", "42", _GRID.format("42"))
 add("math_pi", ":pi", _GRID.format("pi()"))
@@ -240,11 +249,11 @@ for _op, _sql in {
     "or": f"CAST({_T.format('x')} OR {_T.format('y')} AS DOUBLE)",
 }.items():
     add(f"binary_{_op}", f"{_LEFT},{_RIGHT},:{_op}", _PAIR + typed(_sql), source=pairs)
-add("binary_pow", f"{COUNTS},2,:pow", by_type("count(value)") + typed("power(v, 2)", "a"))
-add("binary_same_scan", f"{SUMS},{COUNTS},:div", by_type("sum(value) / count(value)") + typed("v", "a"))
+add("binary_pow", f"{COUNTS},2,:pow", by_type(LINES) + typed("power(v, 2)", "a"))
+add("binary_same_scan", f"{SUMS},{COUNTS},:div", by_type(f"sum(value) / {LINES}") + typed("v", "a"))
 add("binary_with_total", f"{SUMS},name,events,:eq,:sum,:div", by_type() + typed("v / t", "(SELECT event_type, ts, v, sum(v) OVER (PARTITION BY ts) AS t FROM a)"))
 add("binary_with_constant", f"{SUMS},5,:add", by_type() + typed("coalesce(v, 0) + 5"))
-add("binary_subset_keys", f"name,events,:eq,:sum,(,event_type,user_id,),:by,{SUMS},:div", f"WITH e AS ({event_rows(DAY)}), p AS (SELECT event_type, u, b, sum(value) AS v FROM e GROUP BY ALL) SELECT event_type, u AS user_id, b AS ts, round(v / sum(v) OVER (PARTITION BY event_type, b), 6) AS value FROM p", step=DAY)
+add("binary_subset_keys", f"name,events,:eq,:sum,(,event_type,user_id,),:by,{SUMS},:div", f"WITH e AS ({event_rows(DAY)}), p AS (SELECT event_type, u, b, sum(round(value * 100)) AS v FROM e GROUP BY ALL) SELECT event_type, u AS user_id, b AS ts, round(v / 24 / (sum(v) OVER (PARTITION BY event_type, b) / 24), 6) AS value FROM p", source=cents, step=DAY)
 
 # --- second level ---
 
@@ -252,7 +261,7 @@ for _fn in ("sum", "count", "min", "max"):
     add(f"over_{_fn}", f"{SUMS},:{_fn}", by_type() + f"SELECT ts, round(CAST({_fn}(v) AS DOUBLE), 6) AS value FROM a GROUP BY ts")
 add("over_by", "name,events,:eq,:sum,(,event_type,user_id,),:by,:max,(,event_type,),:by", f"WITH e AS ({event_rows()}), p AS (SELECT event_type, u, b, sum(value) AS v FROM e GROUP BY ALL) SELECT event_type, b AS ts, round(max(v), 6) AS value FROM p GROUP BY ALL")
 add("over_cg", "name,events,:eq,:sum,(,event_type,),:cg", by_type() + typed("v", "a"))
-add("named_avg", "name,events,:eq,:avg,(,event_type,),:by", by_type("avg(value)") + typed("v", "a"))
+add("named_avg", "name,events,:eq,:avg,(,event_type,),:by", by_type(f"sum(value) / {LINES}") + typed("v", "a"))
 add("named_stddev", f"{SUMS},:stddev", by_type() + "SELECT ts, round(sqrt((count(v) * sum(v * v) - sum(v) * sum(v)) / (count(v) * count(v))), 6) AS value FROM a GROUP BY ts HAVING (count(v) * sum(v * v) - sum(v) * sum(v)) >= 0")
 add("named_pct", f"{SUMS},:pct", by_type() + typed("v / sum(v) OVER (PARTITION BY ts) * 100", "a"))
 _STATS = ctes(f"o AS (SELECT o_orderstatus AS status, CAST(ceil((epoch_us(o_orderdate) // 1000) / {30 * DAY}.0) AS BIGINT) * {30 * DAY} AS ts, o_totalprice / 1000 AS v FROM orders)", f"r AS (SELECT * FROM o WHERE ts >= {-(-L0 // (30 * DAY)) * 30 * DAY} AND ts < {-(-L1 // (30 * DAY)) * 30 * DAY})")
@@ -351,7 +360,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw samples of one line for each user and type, at most one for each millisecond."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return df.groupBy(F.col("user_id").cast("string").alias("u"), "event_type", series.millis("ts").alias("ts")).agg(F.sum("value").alias("value"))
+    return df.groupBy(F.col("user_id").cast("string").alias("u"), "event_type", series.millis(df, "ts").alias("ts")).agg(F.sum("value").alias("value"))
 
 
 _RAW = "s AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type, (epoch_us(ts) // 1000) AS ts, sum(value) AS value FROM events GROUP BY ALL)"
@@ -389,7 +398,8 @@ for _how in ("sum", "max"):
 
 @register("ingest_last_write", f"SELECT event_type, CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) * {HOUR} AS ts, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", series.millis("ts"))
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = df.withColumn("ts", series.millis(df, "ts"))
     return rounded(normalize.last_write(df, ["event_type"], HOUR, "event_id"))
 
 
@@ -423,7 +433,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluator.event_query(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type,click,:eq,(,user_id,value,),:table")
 
 
-@register("event_sample", f"SELECT CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) * {HOUR} AS step_end, event_type, count(*) AS \"count\" FROM events WHERE user_id < 50 GROUP BY ALL")
+@register("event_sample", f"SELECT CAST(ceil((epoch_us(ts) // 1000) / {HOUR}.0) AS BIGINT) * {HOUR} AS step_end, event_type, count(*) AS \"count\" FROM events GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     sampled = evaluator.event_query(df, ":true,(,event_type,),(,user_id,value,),:sample", step=HOUR)
@@ -457,6 +467,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.pivoted(out.withColumn("value", F.round("value", 6)), ["click", "view"])
 
 
-@register("sink_heatmap", by_type() + "SELECT ts, CAST(least(floor(v / 25), 19) AS INTEGER) AS cell, count(*) AS \"count\" FROM a WHERE v BETWEEN 0 AND 500 GROUP BY ALL")
+@register("sink_heatmap", by_type("sum(round(value * 100))") + "SELECT ts, CAST(least(floor((v - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS cell, count(*) AS \"count\" FROM a, (SELECT min(v) AS lo, max(v) AS hi FROM a) GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.heatmap(compiler.evaluate(spark, events(spark, sf_dir), SUMS, E0, E1), 0.0, 500.0, 20)
+    return sinks.heatmap(compiler.evaluate(spark, cents(spark, sf_dir), SUMS, E0, E1), None, None, 20)

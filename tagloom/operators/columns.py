@@ -90,12 +90,14 @@ _SINCE = {"seconds": 1000.0, "minutes": 60_000.0, "hours": 3_600_000.0, "days":
 
 
 def time_part(mode: str, ts: Column) -> Column:
-    """Calendar fields in the session's zone (UTC), or time since the epoch as a fraction."""
+    """Calendar fields in UTC, or time since the epoch as a fraction."""
+    from tagloom.sources.series import utc_time
+
     if mode in _SINCE:
         return ts / _SINCE[mode]
     if mode not in _PARTS:
         raise ValueError(f"unknown time mode: {mode}")
-    return _PARTS[mode](F.timestamp_millis(ts)).cast("double")
+    return _PARTS[mode](utc_time(ts)).cast("double")
 
 
 def pseudo_random(ts: Column, seed: int = 0) -> Column:

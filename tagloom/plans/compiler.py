@@ -112,22 +112,26 @@ class Compiler:
             picked.append(s.series().alias("_tags"))
         multiple = ctx.step // s.step
         gauge = s.key(s.dstype_key)
-        two_level = multiple > 1 and any(_needs_series(a) for a in aggregates)
+        two_level = any(a.fn == "count" and not s.unique or multiple > 1 and _needs_series(a) for a in aggregates)
+        counted = multiple > 1 and any(a.fn == "count" for a in aggregates)
         primary = F.ceil(s.ts / s.step) * s.step if s.snap else s.ts
-        rows = rows.select(*picked, (F.ceil(s.ts / ctx.step) * ctx.step + shift).cast("long").alias("ts"), s.value.alias("_v"), *([primary.cast("long").alias("_p")] if multiple > 1 and gauge is not None else []), *([F.coalesce(gauge == "gauge", F.lit(False)).alias("_gauge")] if multiple > 1 and gauge is not None else []), *([s.series().alias("_series")] if two_level else []))
+        rows = rows.select(*picked, (F.ceil(s.ts / ctx.step) * ctx.step + shift).cast("long").alias("ts"), s.value.alias("_v"), *([primary.cast("long").alias("_p")] if multiple > 1 and (gauge is not None or counted) else []), *([F.coalesce(gauge == "gauge", F.lit(False)).alias("_gauge")] if multiple > 1 and gauge is not None else []), *([s.series().alias("_series")] if two_level else []))
         for _, c in groups:  # lines without a grouping tag are left out
             rows = rows.where(F.col(c).isNotNull())
         ids = [*(["_tags"] if every else []), *(c for _, c in groups), "ts"]
         gauged = multiple > 1 and gauge is not None
         out: dict[n.Aggregate, Column] = {}
         if two_level:
-            per = rows.groupBy(*ids, "_series").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *([F.max("_gauge").alias("_gauge")] if gauged else []))
+            per = rows.groupBy(*ids, "_series").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *([F.count_distinct(F.when(F.col("_v").isNotNull(), F.col("_p"))).alias("_n")] if counted else []), *([F.max("_gauge").alias("_gauge")] if gauged else []))
             for a in aggregates:
-                divisor = F.when(F.col("_gauge"), F.nullif(F.col("_c"), F.lit(0))).otherwise(F.lit(multiple)) if gauged else F.lit(multiple)
-                # a line counts with the share of primary intervals in which it has a value
-                cell = {"avg": (F.col("_c") if a.fn == "count" else F.col("_s")) / divisor, "sum": F.col("_c").cast("double") if a.fn == "count" else F.col("_s"), "min": F.col("_lo"), "max": F.col("_hi")}[a.consolidation]
-                if a.fn == "count" and a.consolidation in ("min", "max"):
-                    cell = F.when(F.col("_c") > 0, 1.0)
+                divisor = F.when(F.col("_gauge"), F.nullif(F.col("_n" if counted else "_c"), F.lit(0))).otherwise(F.lit(multiple)) if gauged else F.lit(multiple)
+                if a.fn == "count":
+                    # a line counts once in each primary interval in which it has a value
+                    has = F.when(F.col("_c") > 0, 1.0)
+                    n_primary = F.nullif(F.col("_n"), F.lit(0)).cast("double") if counted else has
+                    cell = {"avg": n_primary / (divisor if multiple > 1 else F.lit(1.0)), "sum": n_primary, "min": has, "max": has}[a.consolidation]
+                else:
+                    cell = {"avg": F.col("_s") / divisor if multiple > 1 else F.col("_s"), "sum": F.col("_s"), "min": F.col("_lo"), "max": F.col("_hi")}[a.consolidation if multiple > 1 else {"min": "min", "max": "max"}.get(a.fn, "sum")]
                 out[a] = {"sum": F.sum, "count": F.sum, "all": F.sum, "min": F.min, "max": F.max}[a.fn](cell)
             agg = per
         else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ class Source:
     tags: the Column of each tag, or None if `tag_map` names a map column that has them.
     ts: epoch milliseconds of the interval's end. between: the filter of low < ts <= high
     on stored columns, so that it reaches the scan. step: the primary step in ms.
-    counts: rows are events and :count counts rows' values rather than series.
+    unique: rows are at most one for each series and primary interval, so that :count,
+    which is the number of series with a value, may count rows without telling series apart.
     """
 
     df: DataFrame
@@ -28,6 +30,7 @@ class Source:
     between: Callable[[int, int], Column] | None = None
     dstype_key: str = "dstype"
     snap: bool = True
+    unique: bool = False
 
     def key(self, name: str) -> Column | None:
         if self.tag_map is not None and name not in self.tags:
@@ -62,19 +65,37 @@ def datapoints(df: DataFrame, step: int) -> Source:
     return Source(df, F.col("ts"), F.when(~F.isnan("value"), F.col("value")), step, tag_map="tags")
 
 
-def millis(column: str) -> Column:
-    """Epoch milliseconds of a timestamp column, with or without zone, read as UTC."""
-    return F.unix_millis(F.col(column).cast("timestamp"))
+def utc_millis(c: Column, kind: str) -> Column:
+    """Epoch milliseconds of a time of a column type; times without zone are read as UTC, whatever the session's zone."""
+    if kind == "timestamp":
+        return F.unix_millis(c)
+    if kind == "date":
+        return (F.unix_date(c) * 86_400_000).cast("long")
+    c = c.cast("timestamp_ntz")
+    seconds = F.hour(c) * 3600 + F.minute(c) * 60
+    return F.unix_date(c.cast("date")).cast("long") * 86_400_000 + seconds.cast("long") * 1000 + F.floor(F.extract(F.lit("SECOND"), c) * 1000).cast("long")
+
+
+def utc_time(ts: Column) -> Column:
+    """Epoch milliseconds as a time without zone, in UTC."""
+    day = F.floor(ts / 86_400_000)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(day.cast("int"), F.lit(0), F.lit(0), (F.pmod(ts, F.lit(86_400_000)) / 1000).cast("decimal(18,6)"))
+
+
+def millis(df: DataFrame, column: str) -> Column:
+    """Epoch milliseconds of a time column."""
+    return utc_millis(F.col(column), dict(df.dtypes)[column])
 
 
 def between_times(column: str, kind: str = "timestamp_ntz") -> Callable[[int, int], Column]:
     """low < column <= high with bounds as literals of the column's own type, which the scan can use."""
 
     def literal(ms: int) -> Column:
-        from datetime import datetime, timezone
-
+        if kind == "timestamp":
+            return F.timestamp_millis(F.lit(ms))
         at = datetime.fromtimestamp(ms / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
-        return F.lit(at).cast(kind)
+        # a date is after a bound if its midnight is
+        return F.lit(at[:10] if kind == "date" else at).cast(kind)
 
     return lambda low, high: (F.col(column) > literal(low)) & (F.col(column) <= literal(high))
 
@@ -82,4 +103,4 @@ def between_times(column: str, kind: str = "timestamp_ntz") -> Callable[[int, in
 def flat(df: DataFrame, time: str, value: Column, tags: dict[str, Column], step: int) -> Source:
     """A flat table with a timestamp column; rows fall into the interval that ends at or after them."""
     kind = dict(df.dtypes)[time]
-    return Source(df, millis(time), value.cast("double"), step, tags, between=between_times(time, kind))
+    return Source(df, millis(df, time), value.cast("double"), step, tags, between=between_times(time, kind))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.sources.series import utc_time
+
 
 def pivoted(lines: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """One row for each ts, one column for each label; given labels save the pass that finds them."""
@@ -14,7 +18,7 @@ def pivoted(lines: DataFrame, labels: list[str] | None = None) -> DataFrame:
 def write_csv(lines: DataFrame, path: str, separator: str = ",", labels: list[str] | None = None) -> None:
     """A table with header: timestamp, then the labels."""
     table = pivoted(lines, labels)
-    stamp = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
+    stamp = F.concat(F.replace(F.substring(utc_time(F.col("ts")).cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z")).alias("timestamp")
     table.select(stamp, *[F.col(f"`{c}`") for c in table.columns if c != "ts"]).write.option("header", True).option("sep", separator).csv(path)
 
 
@@ -31,8 +35,14 @@ def statistics(lines: DataFrame) -> DataFrame:
     return lines.groupBy("expr", "label").agg(F.count("value").alias("count"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), last.alias("last"), F.sum("value").alias("total"))
 
 
-def heatmap(lines: DataFrame, low: float, high: float, cells: int) -> DataFrame:
-    """Counts of values by ts and cell of equal height; values outside the bounds are left out."""
+def heatmap(lines: DataFrame, low: float | None, high: float | None, cells: int) -> DataFrame:
+    """Counts of values by ts and cell of equal height; values outside the bounds are left out. A bound that is None is the least or greatest value."""
+    if low is None or high is None:
+        found = lines.agg(F.min("value"), F.max("value")).first()  # two numbers
+        low, high = found[0] if low is None else low, found[1] if high is None else high
+        if low is None or high is None:
+            low, high = 0.0, 1.0
+        high = max(high, math.nextafter(low, math.inf))
     cell = F.least(F.floor((F.col("value") - low) / ((high - low) / cells)), F.lit(cells - 1)).cast("int")
     return lines.where(F.col("value").between(low, high)).groupBy("ts", cell.alias("cell")).agg(F.count("*").alias("count"))
 

@@ -19,6 +19,7 @@ from tagloom.lang.services import streaming_problems
 from tagloom.lang.words import parse, parse_event
 from tagloom.operators.columns import matches
 from tagloom.plans import nodes as n
+from tagloom.sources.series import millis, utc_millis
 from tagloom.streaming.online import online
 
 #: Rows of one line that are held before they are given out.
@@ -44,7 +45,7 @@ def event_query(events: DataFrame, program: str, ts: str = "ts", step: int = 5_0
         return hit
     if e.kind == "table":
         return hit.select(*[F.col(f"`{c}`") for c in e.columns])
-    end = (F.ceil(F.unix_millis(F.col(ts).cast("timestamp")) / step) * step).cast("long").alias("step_end")
+    end = (F.ceil(millis(events, ts) / step) * step).cast("long").alias("step_end")
     return hit.groupBy(end, *[F.col(f"`{c}`") for c in e.by]).agg(F.count("*").alias("count"), F.first(F.struct(*[F.col(f"`{c}`") for c in e.columns]), ignorenulls=True).alias("sample"))
 
 
@@ -93,7 +94,7 @@ def partial_aggregates(events: DataFrame, programs: dict[str, str], step: int, t
     )
     per = F.lit(step / 1000.0)
     out = F.when(F.col("fn").isin("sum", "all"), F.col("_sum") / per).when(F.col("fn") == "count", F.nullif(F.col("samples"), F.lit(0)) / per).when(F.col("fn") == "min", F.col("_min")).otherwise(F.col("_max"))
-    return grouped.select("query", "keys", F.unix_millis(F.col("_w.end").cast("timestamp")).alias("ts"), out.alias("value"), "samples")
+    return grouped.select("query", "keys", utc_millis(F.col("_w.end"), dict(events.dtypes)[ts]).alias("ts"), out.alias("value"), "samples")
 
 
 def time_grouped(points: DataFrame, step: int, how: str = "sum", ids: tuple[str, ...] = ("keys",), replica: str | None = None, num_buffers: int = 1, max_input: int | None = None, now: Column | None = None) -> DataFrame:
@@ -118,7 +119,7 @@ def time_grouped(points: DataFrame, step: int, how: str = "sum", ids: tuple[str,
         grouped = rows.groupBy(w.alias("_w"), *ids).agg(fn("value").alias("value"), F.count("*").alias("samples"))
     if max_input is not None:
         grouped = grouped.where(F.col("samples") <= max_input)
-    return grouped.select(*ids, F.unix_millis(F.col("_w.start").cast("timestamp")).alias("ts"), "value", "samples")
+    return grouped.select(*ids, utc_millis(F.col("_w.start"), dict(points.dtypes)["time"]).alias("ts"), "value", "samples")
 
 
 def over_time(points: DataFrame, op: str, args: tuple, step: int, ids: tuple[str, ...] = ("keys",), max_gap: int | None = None) -> DataFrame:
