@@ -270,8 +270,8 @@ for _word, _sql in (("dist-avg", "sum(v) / count(*)"), ("dist-max", "max(v)"), (
 
 # --- percentiles and distinct counts ---
 
-_BUCKET = "CASE WHEN value <= 1 THEN 0 WHEN value <= 100 THEN ceil(value) - 1 ELSE (SELECT min(i) FROM bounds WHERE hi >= value) END"
-_BOUNDS = "bounds AS (SELECT i, hi, lag(hi, 1, 0.0) OVER (ORDER BY i) AS lo FROM (SELECT unnest(range(0, 100)) AS i, unnest(range(1, 101))::DOUBLE AS hi UNION ALL SELECT 100 + d * 90 + k - 11, power(10, d + 1) * k FROM (SELECT unnest(range(0, 16)) AS d) CROSS JOIN (SELECT unnest(range(11, 101)) AS k)))"
+_BUCKET = "(SELECT min(i) FROM bounds WHERE hi > value)"
+_BOUNDS = f"bounds AS (SELECT i, hi, lag(hi, 1, 0.0) OVER (ORDER BY i) AS lo FROM (SELECT unnest(range(0, {buckets.COUNT})) AS i, unnest({buckets.BOUNDS})::DOUBLE AS hi))"
 _CELLS = f"c AS (SELECT event_type, b AS ts, {_BUCKET} AS i, count(*)::DOUBLE AS n FROM e GROUP BY ALL), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY event_type, ts ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY event_type, ts) AS total FROM c)"
 add(
     "percentiles",
@@ -282,7 +282,7 @@ add(
     step=DAY,
 )
 add("median", "name,events,:eq,:median", ctes(f"e AS ({event_rows(DAY)})", _BOUNDS, _CELLS.replace("event_type, b", "b").replace("PARTITION BY event_type, ts", "PARTITION BY ts")) + "SELECT ts, '50.0' AS percentile, round(min_by(lo + (hi - lo) * greatest(total * 0.5 - before, 0) / n, i), 6) AS value FROM w JOIN bounds USING (i) WHERE before + n >= total * 0.5 - 1e-9 GROUP BY ts", source=latencies, step=DAY)
-add("sample_count", "name,events,:eq,10,100,:sample-count", f"WITH e AS ({event_rows(DAY, 'value > 9 AND value <= 100')}) SELECT b AS ts, round(count(*) * 1000.0 / {HOUR} / 24, 6) AS value FROM e GROUP BY b", source=latencies, step=DAY)
+add("sample_count", "name,events,:eq,10,100,:sample-count", f"WITH e AS ({event_rows(DAY, 'value >= 10 AND value < 106')}) SELECT b AS ts, round(count(*) * 1000.0 / {HOUR} / 24, 6) AS value FROM e GROUP BY b", source=latencies, step=DAY)
 _REG = ctes(f"e AS ({event_rows()})", "r AS (SELECT event_type, b AS ts, user_id % 64 AS reg, max((user_id // 64) % 20 + 1) AS rho FROM e GROUP BY ALL)")
 _HLL = "CASE WHEN 0.709 * 64 * 64 / (z + 64 - n) <= 160 AND 64 - n > 0 THEN 64 * ln(64.0 / (64 - n)) ELSE 0.709 * 64 * 64 / (z + 64 - n) END"
 add("approx_distinct", "name,events,:eq,:max,(,event_type,),:by,:approx-distinct", _REG + f"SELECT event_type, ts, round({_HLL}, 6) AS value FROM (SELECT event_type, ts, sum(power(2.0, -rho)) AS z, count(*) AS n FROM r GROUP BY ALL)", source=registers)

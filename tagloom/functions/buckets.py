@@ -1,27 +1,35 @@
-"""Percentile buckets: a log-linear scheme of this engine.
+"""Percentile buckets with the public numbering: 1, 2, 3, then steps of a third of each power of four.
 
-Upper bounds are 1, 2, ..., 100, then every decade has 90 equal buckets (110, 120, ...,
-1000, 1100, ...). A bucket is tagged D or T (nanoseconds) and its number as four upper-case
-hex digits. Numbers are not those of other systems.
+A bucket holds the values from the bound before it up to its own, which it excludes; the
+last bound is the largest signed 64-bit number. A bucket is tagged D or T (nanoseconds)
+and its number as four upper-case hex digits.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINEAR, STEPS, DECADES = 100, 90, 16
-COUNT = LINEAR + STEPS * DECADES
-BOUNDS = [float(k) for k in range(1, LINEAR + 1)] + [float(10 ** (d + 1) * k) for d in range(DECADES) for k in range(11, 101)]
 
+def _bounds() -> list[int]:
+    out = [1, 2, 3]
+    for power in (4**k for k in range(1, 31)):
+        out += range(power, 4 * power - power // 3, power // 3)
+    return [*out, 2**63 - 1]
 
-def index_of(value: float) -> int:
-    """The bucket of a value: the first with an upper bound of at least the value."""
-    import bisect
 
-    return min(bisect.bisect_left(BOUNDS, value), COUNT - 1)
+BOUNDS = [float(b) for b in _bounds()]
+COUNT = len(BOUNDS)
+#: Number of the bound that is each power of four.
+_POWERS = [BOUNDS.index(float(4**k)) for k in range(31)]
+
+
+def index_of(value: float) -> int:
+    """The bucket of a value: the first with a bound above it; 0 for negative values."""
+    return min(bisect.bisect_right(BOUNDS, value), COUNT - 1)
 
 
 def tag_of(index: int, prefix: str = "D") -> str:
@@ -30,12 +38,15 @@ def tag_of(index: int, prefix: str = "D") -> str:
 
 def index_column(value: Column) -> Column:
     """index_of as a Column."""
-    decade = F.greatest(F.floor(F.log10(value)) - 2, F.lit(0))
-    # log10 may fall short at powers of ten, so the decade is checked against its bounds
-    decade = F.when(value <= F.pow(F.lit(10.0), decade + 2), F.greatest(decade - 1, F.lit(0))).when(value > F.pow(F.lit(10.0), decade + 3), decade + 1).otherwise(decade)
-    unit = F.pow(F.lit(10.0), decade + 1)
-    above = F.lit(LINEAR) + decade * STEPS + F.ceil(value / unit) - 11
-    out = F.when(value <= 1, 0).when(value <= LINEAR, F.ceil(value) - 1).otherwise(above)
+    v = F.floor(value).cast("long")
+    bits = F.length(F.bin(v)) - 1
+    power = bits - bits % 2
+    base = F.call_function("shiftleft", F.lit(1).cast("long"), power.cast("int"))
+    at = F.get(F.array(*map(F.lit, _POWERS)), (power / 2).cast("int"))
+    # the last step of a power is wider than the others
+    steps = F.least(F.floor((v - base) / F.greatest(F.lit(1).cast("long"), F.floor(base / 3))), F.when(power == 2, 10).otherwise(8))
+    above = F.when(power >= 62, COUNT - 1).otherwise(at + steps + 1)
+    out = F.when(v < 1, 0).when(v <= 4, v).otherwise(above)
     return F.least(out, F.lit(COUNT - 1)).cast("int")
 
 
@@ -54,19 +65,22 @@ def bucket_range(low: float, high: float):
     return n.disj(span("D"), span("T"))
 
 
-def percentile_columns(counts: Column, percentiles: Sequence[float]) -> list[Column]:
-    """Estimates from an array of (bucket, count) sorted by bucket; linear inside a bucket; null without counts."""
+def percentile_columns(counts: Column, percentiles: Sequence[float]) -> Column:
+    """An array of estimates from an array of (bucket, count) sorted by bucket, in one pass; linear inside a bucket; null without counts."""
     bounds = F.array(*[F.lit(b) for b in BOUNDS])
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["count"])
+    shares = F.array(*[F.lit(p / 100.0) for p in percentiles])
+
+    def step(a: Column, x: Column) -> Column:
+        low = F.when(x["bucket"] == 0, 0.0).otherwise(F.get(bounds, x["bucket"] - 1))
+        high = F.get(bounds, x["bucket"])
 
-    def walk(target: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            here = a["done"].isNull() & (a["sum"] + x["count"] >= target - 1e-9) & (x["count"] > 0)
-            low = F.when(x["bucket"] == 0, 0.0).otherwise(F.get(bounds, x["bucket"] - 1))
-            high = F.get(bounds, x["bucket"])
-            return F.struct((a["sum"] + x["count"]).alias("sum"), F.when(here, low + (high - low) * F.greatest(target - a["sum"], F.lit(0.0)) / x["count"]).otherwise(a["done"]).alias("done"))
+        def estimate(done: Column, share: Column) -> Column:
+            target = a["total"] * share
+            here = done.isNull() & (a["sum"] + x["count"] >= target - 1e-9) & (x["count"] > 0)
+            return F.when(here, low + (high - low) * F.greatest(target - a["sum"], F.lit(0.0)) / x["count"]).otherwise(done)
 
-        walked = F.aggregate(counts, F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("done")), step)
-        return F.when(total > 0, walked["done"])
+        return F.struct((a["sum"] + x["count"]).alias("sum"), a["total"].alias("total"), F.zip_with(a["done"], shares, estimate).alias("done"))
 
-    return [walk(total * F.lit(p / 100.0)) for p in percentiles]
+    zero = F.struct(F.lit(0.0).alias("sum"), total.alias("total"), F.array(*[F.lit(None).cast("double")] * len(percentiles)).alias("done"))
+    return F.when(total > 0, F.aggregate(counts, zero, step)["done"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,3 +141,78 @@ def matches(query, key) -> Column:
         plain = v.replace("-", "").replace("_", "").isalnum()
         return c.startswith(v) if op == "re" and plain else c.rlike(("(?i)" if op == "reic" else "") + f"^(?:{v})")
     return {"eq": lambda: c == v, "lt": lambda: c < v, "le": lambda: c <= v, "gt": lambda: c > v, "ge": lambda: c >= v, "contains": lambda: c.contains(v), "starts": lambda: c.startswith(v), "ends": lambda: c.endswith(v)}[op]()
+
+
+def could_match(query, tags: dict[str, str]) -> bool:
+    """Whether a predicate may hold for a tag set of which only some tags are known: for pruning tables and partitions."""
+    from tagloom.plans import nodes as n
+
+    def known(q) -> bool | None:
+        """True or False where the known tags decide, else None."""
+        if isinstance(q, n.Always):
+            return q.value
+        if isinstance(q, n.Not):
+            inner = known(q.query)
+            return None if inner is None else not inner
+        if isinstance(q, (n.And, n.Or)):
+            stop = isinstance(q, n.Or)
+            both = known(q.left), known(q.right)
+            return stop if stop in both else None if None in both else not stop
+        return _one_value(q, tags[q.key]) if q.key in tags else None
+
+    return known(query) is not False
+
+
+def _one_value(q, value: str) -> bool:
+    from tagloom.plans import nodes as n
+
+    if isinstance(q, n.Has):
+        return True
+    if isinstance(q, n.In):
+        return value in q.values
+    v = q.value
+    return {
+        "eq": lambda: value == v,
+        "lt": lambda: value < v,
+        "le": lambda: value <= v,
+        "gt": lambda: value > v,
+        "ge": lambda: value >= v,
+        "re": lambda: re.match(v, value) is not None,
+        "reic": lambda: re.match(v, value, re.I) is not None,
+        "contains": lambda: v in value,
+        "starts": lambda: value.startswith(v),
+        "ends": lambda: value.endswith(v),
+    }[q.op]()
+
+
+def matches_any_value(query, tags: dict[str, list[str]]) -> bool:
+    """Whether a predicate holds where each comparison is true if any of a key's values is."""
+    from tagloom.plans import nodes as n
+
+    if isinstance(query, n.Always):
+        return query.value
+    if isinstance(query, n.Not):
+        return not matches_any_value(query.query, tags)
+    if isinstance(query, n.And):
+        return matches_any_value(query.left, tags) and matches_any_value(query.right, tags)
+    if isinstance(query, n.Or):
+        return matches_any_value(query.left, tags) or matches_any_value(query.right, tags)
+    return any(_one_value(query, v) for v in tags.get(query.key) or ())
+
+
+def matches_any(query, key) -> Column:
+    """matches_any_value as a Column; key gives the array Column of a tag's values or None."""
+    from tagloom.plans import nodes as n
+
+    if isinstance(query, n.Always):
+        return F.lit(query.value)
+    if isinstance(query, n.Not):
+        return ~matches_any(query.query, key)
+    if isinstance(query, n.And):
+        return matches_any(query.left, key) & matches_any(query.right, key)
+    if isinstance(query, n.Or):
+        return matches_any(query.left, key) | matches_any(query.right, key)
+    c = key(query.key)
+    if c is None:
+        return F.lit(False)
+    return F.coalesce(F.exists(c, lambda v: F.coalesce(matches(query, lambda k: v), F.lit(False))), F.lit(False))

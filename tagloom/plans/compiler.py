@@ -51,6 +51,25 @@ class EvalContext:
         return (self.end - self.start) // self.step
 
 
+class LimitError(ValueError):
+    """A query that reads more than it may."""
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Most lines and datapoints that one leaf query may read; None is no limit."""
+
+    lines: int | None = None
+    datapoints: int | None = None
+
+    def check(self, rows: DataFrame, series: Column) -> None:
+        """Counts no further than one over each limit."""
+        if self.datapoints is not None and rows.limit(self.datapoints + 1).count() > self.datapoints:
+            raise LimitError(f"too many datapoints: over {self.datapoints}")
+        if self.lines is not None and rows.select(series).distinct().limit(self.lines + 1).count() > self.lines:
+            raise LimitError(f"too many lines: over {self.lines}")
+
+
 @dataclass(frozen=True)
 class Frame:
     """Lines: df has ts, group columns (tag -> column) and what `value` refers to; fixed tags are the same in all lines.
@@ -76,10 +95,10 @@ def new_column(prefix: str = "v") -> str:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, source: Source, ctx: EvalContext):
-        if ctx.step % source.step:
-            raise ValueError(f"step {ctx.step} is no multiple of the primary step {source.step}")
-        self.spark, self.source, self.ctx = spark, source, ctx
+    def __init__(self, spark: SparkSession, source: Source, ctx: EvalContext, limits: Limits | None = None):
+        if ctx.step % source.step and source.step % ctx.step:
+            raise ValueError(f"step {ctx.step} is no multiple and no part of the primary step {source.step}")
+        self.spark, self.source, self.ctx, self.limits = spark, source, ctx, limits
         self.scans: dict[tuple, tuple[DataFrame, dict[n.Aggregate, str], tuple[tuple[str, str], ...], str | None]] = {}
         self.known: dict[n.Node, Frame] = {}
 
@@ -100,8 +119,13 @@ class Compiler:
     def _scan(self, query: n.Query, keys: tuple[str, ...], offset: int, every: bool, aggregates: list[n.Aggregate]):
         s, ctx = self.source, self.ctx
         shift = offset // ctx.step * ctx.step
+        step = max(ctx.step, s.step)
         low, high = ctx.start - ctx.step - shift, ctx.end - ctx.step - shift
+        if step > ctx.step:  # whole primary intervals
+            low, high = low // step * step, dates.round_up(high, step)
         rows = s.df.where(s.in_range(low, high)).where(columns.matches(query, s.key))
+        if self.limits:
+            self.limits.check(rows, s.series())
         found = {k: s.key(k) for k in keys}
         if any(c is None for c in found.values()):
             rows = rows.where(F.lit(False))
@@ -110,12 +134,12 @@ class Compiler:
         tagmap = "_tags" if every else None
         if every:
             picked.append(s.series().alias("_tags"))
-        multiple = ctx.step // s.step
+        multiple = step // s.step
         gauge = s.key(s.dstype_key)
         two_level = any(a.fn == "count" and not s.unique or multiple > 1 and _needs_series(a) for a in aggregates)
         counted = multiple > 1 and any(a.fn == "count" for a in aggregates)
         primary = F.ceil(s.ts / s.step) * s.step if s.snap else s.ts
-        rows = rows.select(*picked, (F.ceil(s.ts / ctx.step) * ctx.step + shift).cast("long").alias("ts"), s.value.alias("_v"), *([primary.cast("long").alias("_p")] if multiple > 1 and (gauge is not None or counted) else []), *([F.coalesce(gauge == "gauge", F.lit(False)).alias("_gauge")] if multiple > 1 and gauge is not None else []), *([s.series().alias("_series")] if two_level else []))
+        rows = rows.select(*picked, (F.ceil(s.ts / step) * step + shift).cast("long").alias("ts"), s.value.alias("_v"), *([primary.cast("long").alias("_p")] if multiple > 1 and (gauge is not None or counted) else []), *([F.coalesce(gauge == "gauge", F.lit(False)).alias("_gauge")] if multiple > 1 and gauge is not None else []), *([s.series().alias("_series")] if two_level else []))
         for _, c in groups:  # lines without a grouping tag are left out
             rows = rows.where(F.col(c).isNotNull())
         ids = [*(["_tags"] if every else []), *(c for _, c in groups), "ts"]
@@ -140,6 +164,9 @@ class Compiler:
                 out[a] = self._direct(a, multiple, gauged)
         names = {a: new_column() for a in aggregates}
         df = agg.groupBy(*ids).agg(*[c.alias(names[a]) for a, c in out.items()])
+        if step > ctx.step:  # a finer step repeats the value of the interval that it lies in
+            fine = F.explode(F.sequence(F.col("ts") - (step - ctx.step), F.col("ts"), F.lit(ctx.step))).alias("ts")
+            df = df.select(*[c for c in df.columns if c != "ts"], fine).where(F.col("ts").between(ctx.start, ctx.end - ctx.step))
         return df, names, groups, tagmap
 
     def _direct(self, a: n.Aggregate, multiple: int, gauged: bool) -> Column:
@@ -416,8 +443,11 @@ class Compiler:
         cells = f.df.where(ok).select(*[c for _, c in groups], "ts", F.struct(number.alias("bucket"), count.alias("count")).alias("_cell"), F.col(tag).startswith("T").alias("_timer")).where(F.col("_cell.count").isNotNull())
         # at most one cell for each bucket of the scheme
         sorted_cells = cells.groupBy(*[c for _, c in groups], "ts").agg(F.array_sort(F.collect_list("_cell")).alias("_cells"), F.max("_timer").alias("_timer"))
-        values = F.array(*[F.struct(F.lit(n.number(p)).alias("_pct"), F.when(F.col("_timer"), v * 1e-9).otherwise(v).alias("_pv")) for p, v in zip(e.pcts, percentile_columns(F.col("_cells"), e.pcts), strict=True)])
-        df = sorted_cells.select(*[c for _, c in groups], "ts", F.explode(values).alias("_e")).select(*[c for _, c in groups], "ts", F.lpad(F.col("_e._pct"), max(len(n.number(p)) for p in e.pcts), " ").alias("_pct"), F.col("_e._pv").alias("_pv"))
+        found = percentile_columns(F.col("_cells"), e.pcts)
+        values = F.zip_with(F.array(*[F.lit(n.number(p)) for p in e.pcts]), found, lambda p, v: F.struct(p.alias("_pct"), v.alias("_pv")))
+        each = sorted_cells.select(*[c for _, c in groups], "ts", "_timer", F.explode(values).alias("_e"))
+        df = each.withColumn("_e", F.struct(F.col("_e._pct").alias("_pct"), F.when(F.col("_timer"), F.col("_e._pv") * 1e-9).otherwise(F.col("_e._pv")).alias("_pv")))
+        df = df.select(*[c for _, c in groups], "ts", "_e").select(*[c for _, c in groups], "ts", F.lpad(F.col("_e._pct"), max(len(n.number(p)) for p in e.pcts), " ").alias("_pct"), F.col("_e._pv").alias("_pv"))
         return Frame(df, F.col("_pv"), (*groups, ("percentile", "_pct")), f.fixed)
 
     def _distinct(self, e: n.Distinct) -> Frame:
@@ -463,11 +493,12 @@ def tags_column(f: Frame) -> Column:
     return F.create_map(*[x for k, c in sorted(cells, key=lambda x: x[0]) for x in (F.lit(k), c)]) if cells else F.expr("map()").cast("map<string,string>")
 
 
-def evaluate(spark: SparkSession, source: Source, program: str | list[n.Style], start: int, end: int, step: int | None = None, dense: bool = False, interpreter=None) -> DataFrame:
+def evaluate(spark: SparkSession, source: Source, program: str | list[n.Style], start: int, end: int, step: int | None = None, dense: bool = False, interpreter=None, limits: Limits | None = None) -> DataFrame:
     """Lines of a program: expr (its place), label, tags, ts, value.
 
     Rows without a value are left out unless `dense`. step is by default the source's.
-    Presentation words that choose lines (:sort, :order, :limit) are applied.
+    Presentation words that choose lines (:sort, :order, :limit) are applied. A query that
+    reads more than `limits` raises LimitError.
     """
     from tagloom.operators import presentation
 
@@ -476,7 +507,7 @@ def evaluate(spark: SparkSession, source: Source, program: str | list[n.Style],
         raise ValueError("the program leaves no expression")
     step = step or source.step
     ctx = EvalContext.aligned(start, end, step)
-    compiler = Compiler(spark, source, ctx)
+    compiler = Compiler(spark, source, ctx, limits)
     compiler.prepare([s.expr for s in styles])
     out = None
     for k, s in enumerate(styles):

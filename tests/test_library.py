@@ -13,7 +13,7 @@ from tagloom import catalog
 from tagloom.functions import buckets, dates
 from tagloom.lang import services, words
 from tagloom.operators import columns, normalize, smoothing, validate
-from tagloom.plans.compiler import evaluate, lines
+from tagloom.plans.compiler import LimitError, Limits, evaluate, lines
 from tagloom.sources import metadata, readers, series, sinks
 from tagloom.streaming import evaluator
 from tagloom.streaming.online import online
@@ -39,16 +39,19 @@ def test_dates():
 
 
 def test_buckets(spark):
-    values = [0.0, 0.5, 1.0, 1.5, 99.0, 100.0, 100.5, 110.0, 999.0, 1000.0, 1000.1, 12345.6, 1e6, 1e6 + 1, 1e9, 3.3e12]
+    values = [0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 4.5, 5.0, 14.0, 15.0, 16.0, 20.9, 21.0, 99.0, 100.0, 105.9, 106.0, 999.0, 1000.1, 12345.6, 1e6, 1e9, 3.3e12, 4.0**20 - 1, 4.0**20, 2.0**62, 9e18]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", buckets.index_column(F.col("v")).alias("i")).collect()
     assert [r.i for r in got] == [buckets.index_of(v) for v in values]
-    assert all(buckets.BOUNDS[buckets.index_of(v)] >= v for v in values)
+    # the public scheme has 276 buckets; bounds that are known from its documentation
+    assert buckets.COUNT == 276 and buckets.BOUNDS[:20] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 21, 26, 31, 36, 41]
+    assert all(buckets.BOUNDS[buckets.index_of(v)] > v for v in values)
 
 
 def test_percentile_accuracy(spark):
     df = spark.range(100).select(F.create_map(F.lit("name"), F.lit("t"), F.lit("percentile"), buckets.tag_column(F.col("id").cast("double"))).alias("tags"), F.lit(STEP).alias("ts"), F.lit(1 / 60).alias("value"))
     got = {r.tags["percentile"].strip(): r.value for r in evaluate(spark, series.datapoints(df, STEP), "name,t,:eq,(,9,25,50,90,98,),:percentiles", STEP, 2 * STEP).collect()}
-    assert all(abs(v - float(p)) <= 2 for p, v in got.items()) and len(got) == 5
+    # above 85 a bucket of the public scheme is 21 wide
+    assert all(abs(v - float(p)) <= (2 if float(p) <= 90 else 21) for p, v in got.items()) and len(got) == 5
 
 
 def test_smoothing_states():
@@ -286,3 +289,62 @@ def test_over_time_carries_its_state_over_long_gaps(spark, tmp_path):
         q.awaitTermination(60)
     got = {x.ts // STEP: x.value for x in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {t: 5.0 if t == last else 2.0 for t in range(1, last + 1)}
+
+
+def test_count_is_of_series(spark):
+    """Two rows of one tag set at one time are one line; a coarser step counts shares of primary intervals."""
+    rows = [({"name": "a", "k": "x"}, STEP, 1.0), ({"name": "a", "k": "x"}, STEP, 5.0), ({"name": "a", "k": "y"}, STEP, 2.0), ({"name": "a", "k": "z"}, STEP, None), ({"name": "a", "k": "y"}, 2 * STEP, 3.0)]
+    source = series.datapoints(spark.createDataFrame(rows, "tags map<string,string>, ts long, value double"), STEP)
+    got = {r.ts // STEP: r.value for r in evaluate(spark, source, "name,a,:eq,:count", STEP, 3 * STEP).collect()}
+    assert got == {1: 2.0, 2: 1.0}
+    assert [r.value for r in evaluate(spark, source, "name,a,:eq,:count", 2 * STEP, 4 * STEP, 2 * STEP).collect()] == [1.5]
+    assert [r.value for r in evaluate(spark, source, "name,a,:eq,:avg", STEP, 2 * STEP).collect()] == [4.0]
+
+
+def test_results_do_not_depend_on_the_zone(spark, sf_dir):
+    names = ("data_sum_by", "math_time_hour", "math_time_weekday", "event_sample", "event_datapoints", "ingest_last_write")
+    run = lambda: [sorted(map(str, catalog.QUERIES[q](spark, sf_dir).collect())) for q in names]
+    want = run()
+    try:
+        for zone in ("America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert run() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_finer_step_repeats_the_interval(spark):
+    rows = [({"name": "a"}, STEP, 1.0), ({"name": "a"}, 2 * STEP, 5.0)]
+    source = series.datapoints(spark.createDataFrame(rows, "tags map<string,string>, ts long, value double"), STEP)
+    got = {r.ts: r.value for r in evaluate(spark, source, "name,a,:eq,:sum", STEP // 2, 2 * STEP + STEP // 2, STEP // 2).collect()}
+    assert got == {STEP // 2: 1.0, STEP: 1.0, STEP * 3 // 2: 5.0, 2 * STEP: 5.0}
+    with pytest.raises(ValueError):
+        evaluate(spark, source, "name,a,:eq,:sum", 0, 7000 * 10, 7000)
+
+
+def test_limits(spark):
+    source = series.datapoints(readers.constants(spark, STEP, 0, 10 * STEP), STEP)
+    fits = Limits(lines=11, datapoints=110)
+    assert evaluate(spark, source, ":true,:sum", 0, 10 * STEP, limits=fits).count() == 10
+    for limits in (Limits(lines=10), Limits(datapoints=109)):
+        with pytest.raises(LimitError):
+            evaluate(spark, source, ":true,:sum", 0, 10 * STEP, limits=limits)
+
+
+def test_partial_and_multiple_tags(spark):
+    q = lambda s: words.parse_query(s)
+    for text, tags, could in (
+        ("a,1,:eq,b,2,:eq,:and", {"a": "1"}, True),
+        ("a,1,:eq,b,2,:eq,:and", {"a": "2"}, False),
+        ("a,1,:eq,b,2,:eq,:or", {"a": "2"}, True),
+        ("a,1,:eq,:not", {"a": "1"}, False),
+        ("a,1,:eq,:not", {}, True),
+        ("a,1,:eq,b,2,:eq,:and,:not", {"a": "1"}, True),
+        (":false", {}, False),
+        ("a,(,1,2,),:in", {"a": "3"}, False),
+    ):
+        assert columns.could_match(q(text), tags) == could, text
+    df = spark.createDataFrame([({"a": ["1", "2"], "b": ["x"]},), ({"a": ["3"]},), ({},)], "t map<string,array<string>>")
+    for text, want in (("a,2,:eq", [True, False, False]), ("a,2,:gt", [False, True, False]), ("b,:has", [True, False, False]), ("a,1,:eq,a,2,:eq,:and", [True, False, False]), ("a,3,:eq,:not", [True, False, True])):
+        got = [r[0] for r in df.select(columns.matches_any(q(text), lambda k: F.col("t")[k])).collect()]
+        assert got == want and [columns.matches_any_value(q(text), r.t) for r in df.collect()] == want, text
