@@ -304,10 +304,6 @@ for _op, _args, _sql in (
     ("trend", "6h", f"CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY ts) >= 6 AND count(v) {_W.format(5)} > 0 THEN sum(v) {_W.format(5)} / 6 END"),
 ):
     add(f"stateful_{_op.replace('-', '_')}", f"{SUMS}," + (f"{_args}," if _args else "") + f":{_op}", by_type() + typed(_sql))
-for _op in ("des", "sdes"):
-    QUERIES[f"stateful_{_op}"] = lambda spark, sf_dir, op=_op: rounded(compiler.lines(spark, events(spark, sf_dir), f"{SUMS},10,0.1,0.5,:{op}", E0, E1))
-QUERIES["stateful_des_epic_signal"] = lambda spark, sf_dir: rounded(compiler.lines(spark, events(spark, sf_dir), f"{SUMS},10,0.1,0.02,0.3,0.3,10,:des-epic-signal", E0, E1))
-
 # --- whole-window statistics, filters, ranks ---
 
 _OVER = "OVER (PARTITION BY event_type)"

@@ -3,30 +3,53 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "tags MAP<STRING,STRING>, timestamp BIGINT, value DOUBLE"
+_FIELDS = "tags: MAP<STRING,STRING>, timestamp: BIGINT, value: DOUBLE"
 
 
-def publish_batches(spark: SparkSession, path: str) -> DataFrame:
-    """JSON batches {tags, metrics: [{tags, timestamp, value}]}: common tags join each metric's, which win."""
-    raw = spark.read.schema(f"tags MAP<STRING,STRING>, metrics ARRAY<STRUCT<{POINT.replace(' MAP', ': MAP').replace(' BIGINT', ': BIGINT').replace(' DOUBLE', ': DOUBLE')}>>").option("multiLine", True).json(path)
-    common = F.coalesce("tags", F.expr("map()").cast("map<string,string>"))
-    each = raw.select(common.alias("_common"), F.explode("metrics").alias("m"))
-    own = F.coalesce("m.tags", F.expr("map()").cast("map<string,string>"))
+_BATCH = f"tags MAP<STRING,STRING>, metrics ARRAY<STRUCT<{_FIELDS}>>"
+
+
+def _batched(raw: DataFrame) -> DataFrame:
+    empty = F.expr("map()").cast("map<string,string>")
+    each = raw.select(F.coalesce("tags", empty).alias("_common"), F.explode("metrics").alias("m"))
+    own = F.coalesce("m.tags", empty)
     merged = F.map_concat(F.map_filter("_common", lambda k, v: ~F.map_contains_key(own, k)), own)
     return each.select(merged.alias("tags"), F.col("m.timestamp").alias("ts"), F.col("m.value").alias("value"))
 
 
+def publish_batches(spark: SparkSession, path: str) -> DataFrame:
+    """JSON batches {tags, metrics: [{tags, timestamp, value}]}: common tags join each metric's, which win."""
+    return _batched(spark.read.schema(_BATCH).option("multiLine", True).json(path))
+
+
+def decode_batches(payloads: DataFrame, column: str) -> DataFrame:
+    """publish_batches of a column of payloads."""
+    return _batched(payloads.select(F.from_json(column, _BATCH).alias("_b")).select("_b.tags", "_b.metrics"))
+
+
 def publish_list(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of datapoints."""
     return spark.read.schema(POINT).option("multiLine", True).json(path).select("tags", F.col("timestamp").alias("ts"), "value")
 
 
-def compact_batch(spark: SparkSession, payload: str) -> DataFrame:
-    """One string-table payload: a flat array of n, n strings, m, then m times (tag count, key and value numbers, timestamp, value)."""
+def decode_lists(payloads: DataFrame, column: str) -> DataFrame:
+    """publish_list of a column of payloads."""
+    return payloads.select(F.explode(F.from_json(column, f"ARRAY<STRUCT<{_FIELDS}>>")).alias("p")).select("p.tags", F.col("p.timestamp").alias("ts"), "p.value")
+
+
+def compact_batch(spark: SparkSession, path: str) -> DataFrame:
+    """Files of one string-table payload each: a flat array of n, n strings, m, then m times (tag count, key and value numbers, timestamp, value)."""
+    return decode_compact(spark.read.text(path, wholetext=True), "value")
+
+
+def _compact_rows(payload: str) -> list[tuple[dict[str, str], int, float]]:
     cells = json.loads(payload)
     n = cells[0]
     table, at, rows = cells[1 : 1 + n], 2 + n, []
@@ -36,7 +59,28 @@ def compact_batch(spark: SparkSession, payload: str) -> DataFrame:
         at += 1 + 2 * k
         rows.append((tags, int(cells[at]), float(cells[at + 1])))
         at += 2
-    return spark.createDataFrame(rows, "tags MAP<STRING,STRING>, ts BIGINT, value DOUBLE")
+    return rows
+
+
+def decode_compact(payloads: DataFrame, column: str) -> DataFrame:
+    """compact_batch of a column of payloads, decoded where the rows are."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for payload in frame[column]:
+                yield pd.DataFrame(_compact_rows(payload), columns=["tags", "ts", "value"])
+
+    return payloads.select(column).mapInPandas(run, "tags MAP<STRING,STRING>, ts BIGINT, value DOUBLE")
+
+
+def compact_payloads(lists: DataFrame, column: str) -> DataFrame:
+    """A payload for each row's array of (tags, timestamp, value)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"payload": [encode_compact([(dict(p["tags"]), p["timestamp"], p["value"]) for p in points]) for points in frame[column]]})
+
+    return lists.select(column).mapInPandas(run, "payload STRING")
 
 
 def encode_compact(rows: list[tuple[dict[str, str], int, float]]) -> str:

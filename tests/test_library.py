@@ -134,7 +134,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "list.json").write_text(json.dumps([{"tags": {"name": "m"}, "timestamp": 5, "value": 1.5}]))
     assert readers.publish_list(spark, str(tmp_path / "list.json")).collect()[0].tags == {"name": "m"}
     rows = [({"name": "a", "k": "v"}, 1, 2.0), ({"name": "b"}, 3, 4.0)]
-    assert [(r.tags, r.ts, r.value) for r in readers.compact_batch(spark, readers.encode_compact(rows)).collect()] == rows
+    (tmp_path / "compact.json").write_text(readers.encode_compact(rows))
+    assert [(r.tags, r.ts, r.value) for r in readers.compact_batch(spark, str(tmp_path / "compact.json")).collect()] == rows
     assert readers.synthetic(spark, STEP, 3, 10, 2).count() == 30
 
 
