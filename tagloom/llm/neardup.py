@@ -4,15 +4,17 @@ Two small collections of M sketches, each of R minhashes, give M * M table keys:
 is a pair of a sketch of the first and one of the second collection. So 2 * M * R
 minhashes serve M * M tables of 2 * R rows.
 
-Texts with equal shingle sets are one class. In each table bucket every class meets the
-bucket's first member in one order of all classes, so that the members of a large group
-meet few others; links are confirmed on the full sets, and components grow from them. In
-buckets that then hold several components, members of other components than its own meet
-a member picked at random for the bucket. What is left goes through an exact
-prefix-filter join: shingles that only one component has come first, then rarer ones
-before frequent ones, and sets of Jaccard similarity 0.8 share one of their first fifth
-in that order. So no bucket is expanded into all its pairs, and no link is lost that any
-bucket holds. Two texts of similarity 0.8 share no bucket with a chance of 8e-5.
+Texts with equal shingle sets are one class. Each class first meets one other: of the
+first members of its table buckets, in one order of all classes, the foremost, so that a
+large group makes one pair for each of its members. Links are confirmed on the full sets,
+and components grow from them. In buckets that then hold several components, members of
+other components than its own meet one member of the bucket, in two rounds: the foremost
+in another order of all classes, then one picked for the bucket alone. What is left goes
+through an exact prefix-filter join: shingles that only one component has come first,
+then rarer ones before frequent ones, and sets of Jaccard similarity 0.8 share one of
+their first fifth in that order. So no bucket is expanded into all its pairs, and no link
+is lost that any bucket holds. Two texts of similarity 0.8 share no bucket with a chance
+of 8e-5.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tagloom.llm.common import Scratch, arrow_map, release, texts_of
 
 #: Sketches of a collection, minhashes of a sketch.
 M, R = 10, 2
+#: Rounds in which the components of a bucket meet one of its members, before the exact join.
+ROUNDS = 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, 2 * M * R, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,7 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.table(sets.where(F.size("set") > 0).dropDuplicates(["id", "set"]), "sets")
     release(spark)
 
-    pairs = members.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+    # one pair for each class: of its buckets' first members, the one that is first in the order of all
+    first_of = members.groupBy("id").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("_m")).select("id", F.col("_m.rep").alias("rep"))
+    pairs = first_of.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
     links = _confirmed(pairs, nodes, sets, scratch, "star")
     # rows that repeat an id tie the classes of their texts together
     led = rows.where("n > 0 AND doc_id IS NOT NULL").join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id").distinct()
@@ -199,10 +205,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = components(links.union(ties), scratch)
 
     mixed = _mixed(members, first, scratch)
-    chosen = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "comp")).alias("_rep")).select("key", F.col("_rep.id").alias("rep"), F.col("_rep.comp").alias("_comp"))
-    again = mixed.join(scratch.table(chosen, "chosen"), "key").where("comp <> _comp").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-    first = _grown(first, _confirmed(again, nodes, sets, scratch, "again"), scratch)
-    rest = _left_over(_mixed(mixed, first, scratch), sets, scratch)
+    for k in range(ROUNDS):
+        order = F.xxhash64("key", "id") if k else F.xxhash64("id", F.lit(k))
+        chosen = mixed.groupBy("key").agg(F.min(F.struct(order.alias("h"), "id", "comp")).alias("_rep")).select("key", F.col("_rep.id").alias("rep"), F.col("_rep.comp").alias("_comp"))
+        met = mixed.join(scratch.table(chosen, "chosen"), "key").where("comp <> _comp").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+        first = _grown(first, _confirmed(met, nodes, sets, scratch, f"round{k}"), scratch)
+        mixed = _mixed(mixed, first, scratch)
+    rest = _left_over(mixed, sets, scratch)
     first = _grown(first, _confirmed(rest, nodes, sets, scratch, "rest"), scratch)
 
     led_all = rows.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", F.col("id").alias("_class")), ["k1", "k2"], "left")
