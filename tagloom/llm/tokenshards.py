@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -19,14 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.bpe import Memory, byte_chars
-from tagloom.llm.common import Scratch, arrow_map, release, texts_of
+from tagloom.llm.bpe import Memory
+from tagloom.llm.common import Scratch, arrow_map, release
 
 MAGIC = b"SSTTOK01"
 #: Bytes of a block before compression, of a shard's data, and Bloom filter bits for each document.
@@ -174,49 +174,118 @@ class ShardReader:
 
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space and the word after it; a byte-level pre-tokenizer never joins what stands on both sides of such a cut.
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: The words of a chunk as byte-level pre-tokenizing cuts them.
+#: All cuts of byte-level pre-tokenizing, for what word_starts leaves too long.
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Chunks and words whose ids one worker remembers.
-CACHE_CHUNKS, CACHE_WORDS = 400_000, 400_000
+#: Words whose ids one worker remembers, and characters that go to the library in one call.
+CACHE_WORDS, ASKED_CHARS = 800_000, 1 << 16
+#: Kinds of bytes: white space, letter, digit, apostrophe, other ASCII; the rest belongs to longer characters.
+_BLANK, _LETTER, _DIGIT, _QUOTE, _MARK, _HIGH = range(6)
+_KIND = np.array([_BLANK if c in b"\t\n\v\f\r " else _QUOTE if c == 39 else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK for c in range(128)] + [_HIGH] * 128, np.uint8)
+#: Whether byte-level pre-tokenizing always cuts between two kinds (at 8 * first + second). A contraction begins with an apostrophe and a letter.
+_CUTS = np.zeros(64, bool)
+for _a, _ends in ((_LETTER, (_BLANK, _DIGIT, _QUOTE, _MARK)), (_DIGIT, (_BLANK, _LETTER, _QUOTE, _MARK)), (_QUOTE, (_BLANK, _DIGIT)), (_MARK, (_BLANK, _LETTER, _DIGIT)), (_HIGH, (_BLANK,))):
+    _CUTS[[8 * _a + _b for _b in _ends]] = True
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Marks bytes of UTF-8 where a byte-level pre-tokenizer cuts, whatever stands around them; not all such places."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF: letters but for two
+    lead = lead[(data[lead + 1] & 0x9F) != 0x97]
+    kind[lead + 1] = _LETTER
+    out = np.zeros(len(data), bool)
+    out[1:] = _CUTS[kind[:-1] << 3 | kind[1:]]
+    # white space goes on after wide white space, which begins with one of these bytes
+    after = np.flatnonzero((kind[:-1] == _HIGH) & (kind[1:] == _BLANK)) + 1
+    wide = (data[np.maximum(after - 2, 0)] == 0xC2) | np.isin(data[np.maximum(after - 3, 0)], (0xE1, 0xE2, 0xE3))
+    out[after[wide]] = False
+    return out
 
 
 class CachedTokenizer:
-    """The tokenizers library with a memory of frequent chunks and words; each unknown word goes to the library's model."""
+    """The tokenizers library with a memory of frequent words; each distinct word of a batch is looked up once, and unknown ones go to the library together."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory, self.words = Memory(CACHE_CHUNKS), Memory(CACHE_WORDS)
-        self.model, self.chars = self.library.model, byte_chars()
-        self.space = self.chars[32]
+        self.memory = Memory(CACHE_WORDS)
         self.size = self.library.get_vocab_size()
+        # each character of a byte-level token stands for one byte
+        vocab = self.library.get_vocab()
+        self.lengths = np.zeros(1 + max(vocab.values()), np.int64)
+        self.lengths[list(vocab.values())] = list(map(len, vocab))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, null as empty."""
+        texts = texts.cast(pa.large_string())
+        if texts.null_count:
+            texts = texts.fill_null("")
+        n, (_, at, data) = len(texts), texts.buffers()
+        if not n:
+            return []
+        at = np.frombuffer(at, np.int64, n + 1, 8 * texts.offset)
+        data = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        start = word_starts(data) if len(data) else np.zeros(0, bool)
+        start[at[:-1][at[:-1] < len(data)]] = True
+        begins = np.flatnonzero(start)
+        offsets = np.append(begins, len(data))
+        words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        found = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.memory.known.get, found))
+        unknown = [k for k, ids in enumerate(got) if ids is None]
+        for k, ids in zip(unknown, self._ask_all([found[k] for k in unknown]), strict=True):
+            got[k] = self.memory.put(found[k], ids)
+        _, ends, ids = pa.array(got, pa.large_binary()).take(words.indices).buffers()
+        ids = np.frombuffer(ids or b"", "<u4")
+        ends = np.frombuffer(ends, np.int64, len(begins) + 1)[np.searchsorted(begins, at)] // 4
+        out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for special in self.special:
+            for k in np.flatnonzero(pc.match_substring(texts, special)).tolist():
+                out[k] = np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if any(t in text for t in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = _CHUNK.findall(text)
-        out = list(map(self.memory.known.get, chunks))
-        if None in out:
-            unknown = [(k, _PIECE.findall(chunks[k])) for k, got in enumerate(out) if got is None]
-            known = self.words.known
-            fresh = {}
-            for _, words in unknown:
-                for w in words:
-                    if w not in known and w not in fresh:
-                        shown = w.replace(" ", self.space) if w.isascii() and w.isprintable() else "".join([self.chars[b] for b in w.encode()])
-                        ids = [t.id for t in self.model.tokenize(shown)]
-                        fresh[w] = struct.pack(f"<{len(ids)}I", *ids)
-            for k, words in unknown:
-                out[k] = self.memory.put(chunks[k], b"".join([fresh.get(w) or known[w] for w in words]))
-            for w, got in fresh.items():
-                self.words.put(w, got)
-        return b"".join(out)
+    def _ask_all(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, of which the library gets a bounded number of characters at once."""
+        group, chars = [], 0
+        for w in words:
+            if chars + len(w) > ASKED_CHARS:
+                yield from self._ask(group)
+                group, chars = [], 0
+            if len(w) > ASKED_CHARS and len(pieces := _PIECE.findall(w)) > 1:
+                yield b"".join(self._ask_all(pieces))
+            else:
+                group.append(w)
+                chars += len(w)
+        yield from self._ask(group)
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the library, joined where white space parts them; the tokens' lengths tell where each ends."""
+        joined, sizes, pads, alone = [], [], [], []
+        for k, w in enumerate(words):
+            pad = w[0] not in "\t\n\v\f\r "
+            if w[-1].isspace() or pad and w[0].isspace():
+                alone.append(k)
+                continue
+            joined.append("\n" + w if pad else w)
+            sizes.append(pad + (len(w) if w.isascii() else len(w.encode())))
+            pads.append(pad)
+        texts = ["".join(joined), *[words[k] for k in alone]]
+        first, *rest = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        covered, ends = np.cumsum(self.lengths[first]), np.cumsum(np.array(sizes, np.int64))
+        to = np.searchsorted(covered, ends) + 1
+        if len(first) != (to[-1] if len(to) else 0) or not np.array_equal(covered[to - 1], ends):
+            raise ValueError("this vocabulary does not cut texts as a byte-level one does")
+        raw, at = first.tobytes(), 4 * (np.append(0, to[:-1])[: len(to)] + np.array(pads, np.int64))
+        out = [raw[a:b] for a, b in zip(at.tolist(), (4 * to).tolist(), strict=True)]
+        for k, ids in zip(alone, rest, strict=True):
+            out.insert(k, ids.tobytes())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -241,15 +310,15 @@ def write_shards(docs: DataFrame, vocab: str, end_id: int, base: str, id_col: st
         part, seq, done = TaskContext.get().partitionId(), 0, []
         tok = _tokenizer(vocab)
         width = 2 if max(tok.size, end_id + 1) <= 1 << 16 else 4
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         writer, last, nth, first = None, None, 0, None
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1)), strict=True):
                 if writer is None:
                     writer, first = ShardWriter(base, width), doc_id
                 nth = nth + 1 if doc_id == last and writer.docs else 0
                 last = doc_id
-                writer.add(key_of(doc_id, nth), np.frombuffer(tok.encode(text) + end, "<u4"))
+                writer.add(key_of(doc_id, nth), np.append(ids, end))
                 if writer.at >= SHARD_BYTES:
                     writer.close()
                     done.append((part, seq, writer.uri, first, writer.docs, writer.tokens))

@@ -398,6 +398,58 @@ def test_token_shards_fuzz(spark):
         start += len(ids)
 
 
+def test_token_shards_ask_the_library_once(monkeypatch):
+    """Each distinct word goes to the library once, many in one call and few characters at a time; the ids are those of whole texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, asked = Tokenizer.from_file(path), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(sum(map(len, texts)))
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    r = random.Random(8)
+    known = ["".join(r.choices("abcdeé", k=9)) + r.choice(("", ".", "'s", "12", "---", "ción,")) for _ in range(3000)]
+    texts = [" ".join(r.choices(known, k=100)) for _ in range(300)]
+    tok = tokenshards.CachedTokenizer(path)
+    tok.library = Counting()
+    got = tok.encode(pa.array(texts))
+    assert len(asked) <= 2 and sum(asked) < 1.2 * (sum(map(len, known)) + len(known))
+    assert [x.tolist() for x in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert all(np.array_equal(a, b) for a, b in zip(got, tok.encode(pa.array(texts)), strict=True)) and len(asked) <= 3
+
+    # one text of many characters and no white space, part of a larger array with nulls
+    monkeypatch.setattr(tokenshards, "ASKED_CHARS", 500)
+    asked.clear()
+    odd = [None, "日本。語" * 2000, "", "é" * 3, None, "\u3000 a \u00a0  b\u2003 c\n  '", "'s''s '1 1's"]
+    got = tok.encode(pa.array(["cut off", *odd]).slice(1))
+    assert [x.tolist() for x in got] == [x.ids for x in library.encode_batch([t or "" for t in odd], add_special_tokens=False)]
+    assert max(asked) <= 1100
+
+
+def test_word_starts_are_cuts():
+    """Wherever word_starts marks a byte, the library's pre-tokenizer starts a word; in plain text it marks all but words after a line break, which stay with it."""
+    from tokenizers import pre_tokenizers
+
+    cutter, r = pre_tokenizers.ByteLevel(add_prefix_space=False), random.Random(9)
+    bits = [*"aZéñ×÷ª½1'._ \n\t\x1c\u00a0\u3000\u2003…日́", "'s", "'ll", "  ", "\x85"]
+
+    def both(t):
+        begins = {len(t[:a].encode()) for _, (a, _) in cutter.pre_tokenize_str(t)} - {0}
+        return set(np.flatnonzero(tokenshards.word_starts(np.frombuffer(t.encode(), np.uint8))).tolist()), begins
+
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randrange(1, 25)))
+        found, begins = both(t)
+        assert found <= begins, t
+    t = "The café, señor: 12 (of 30) don't cost 4x; naïve\nlines end. e.g. this"
+    found, begins = both(t)
+    assert begins - found == {len(t[: t.index("lines")].encode())}
+
+
 CLASHING = ["_id", "_row", "_text", "_words", "_iw", "_th", "_item", "_spans", "_hash", "_owner", "_repo", "_blocks", "_normal", "id", "n", "k1", "k2", "sig", "set", "key", "comp", "label", "chunks", "record", "digest", "_held", "component_id", "score", "predicted"]
 
 
