@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators import columns
 from tagloom.plans import nodes as n
 
 _VARIABLE = re.compile(r"\$(?:\(([^)]+)\)|([A-Za-z0-9_.-]+))")
@@ -66,7 +67,7 @@ def chosen(style: n.Style, df: DataFrame) -> DataFrame:
     if limit is None:
         return df
     mode, desc = style.get("sort", "legend"), style.get("order", "asc") == "desc"
-    stat = {"min": F.min("value"), "max": F.max("value"), "avg": F.avg("value"), "count": F.count("value"), "total": F.sum("value"), "last": F.max_by("value", F.when(F.col("value").isNotNull(), F.col("ts")))}.get(mode, F.first("label"))
+    stat = columns.STATISTICS[mode]("value") if mode in columns.STATISTICS else F.first("label")
     stats = df.groupBy(F.to_json("tags").alias("_id"), F.col("label").alias("_label")).agg(stat.alias("_stat"))
     order = F.col("_stat").desc_nulls_last() if desc else F.col("_stat").asc_nulls_last()
     kept = stats.orderBy(order, "_label", "_id").limit(int(limit)).select("_id")
@@ -75,7 +76,7 @@ def chosen(style: n.Style, df: DataFrame) -> DataFrame:
 
 def line_order(df: DataFrame, mode: str = "legend", order: str = "asc") -> DataFrame:
     """df with the rank of each line (from 1) within its expression, as :sort and :order ask; missing statistics last."""
-    stat = {"min": F.min("value"), "max": F.max("value"), "avg": F.avg("value"), "count": F.count("value"), "total": F.sum("value"), "last": F.max_by("value", F.when(F.col("value").isNotNull(), F.col("ts")))}.get(mode, F.first("label"))
+    stat = columns.STATISTICS[mode]("value") if mode in columns.STATISTICS else F.first("label")
     stats = df.groupBy("expr", "label").agg(stat.alias("_stat"))
     by = F.col("_stat").desc_nulls_last() if order == "desc" else F.col("_stat").asc_nulls_last()
     ranked = stats.select("expr", "label", F.row_number().over(Window.partitionBy("expr").orderBy(by, "label")).alias("rank"))

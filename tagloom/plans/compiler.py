@@ -383,14 +383,12 @@ class Compiler:
         return replace(f, df=f.df.withColumn(r, out), value=F.col(r))
 
     def _stat(self, e: n.Stat) -> Frame:
-        f, c = self.settled(self.frame(e.expr))
-        w = Window.partitionBy(*f.ids)
+        # missing points count in no statistic, so the lines' rows are enough; each grid point repeats the result
+        f, c = self.settled(self.frame(e.expr), dense=False)
         r = new_column()
-        if e.stat == "last":
-            out = F.last(c, ignorenulls=True).over(w.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        else:
-            out = {"avg": F.avg, "max": F.max, "min": F.min, "total": F.sum, "count": F.count}[e.stat](c).over(w)
-        return replace(f, df=f.df.withColumn(r, out.cast("double")), value=F.col(r))
+        points = F.explode(F.sequence(F.lit(self.ctx.start), F.lit(self.ctx.end - self.ctx.step), F.lit(self.ctx.step))).alias("ts")
+        stats = f.df.groupBy(*f.ids).agg(columns.STATISTICS[e.stat](c).cast("double").alias(r))
+        return replace(f, df=stats.select(*f.ids, r, points), value=F.col(r), dense=True)
 
     def _filter(self, e: n.Filter) -> Frame:
         f, by = self.frame(e.expr), self.frame(e.by)
@@ -419,8 +417,7 @@ class Compiler:
             return f
         c = new_column()
         f = replace(f, df=f.df.select(*f.ids, "ts", f.value.alias(c)), value=F.col(c))
-        stat = {"avg": F.avg(c), "max": F.max(c), "min": F.min(c), "total": F.sum(c), "count": F.count(c).cast("double"), "last": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts")))}[e.stat]
-        stats = f.df.groupBy(*f.ids).agg(stat.alias("_stat"))
+        stats = f.df.groupBy(*f.ids).agg(columns.STATISTICS[e.stat](c).alias("_stat"))
         # missing statistics rank as the largest; ties keep the earlier line
         order = F.col("_stat").desc_nulls_first() if e.op.startswith("topk") else F.col("_stat").asc_nulls_last()
         kept = stats.orderBy(order, *f.ids).limit(e.k).select(*f.ids)

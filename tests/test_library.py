@@ -349,3 +349,34 @@ def test_partial_and_multiple_tags(spark):
     for text, want in (("a,2,:eq", [True, False, False]), ("a,2,:gt", [False, True, False]), ("b,:has", [True, False, False]), ("a,1,:eq,a,2,:eq,:and", [True, False, False]), ("a,3,:eq,:not", [True, False, True])):
         got = [r[0] for r in df.select(columns.matches_any(q(text), lambda k: F.col("t")[k])).collect()]
         assert got == want and [columns.matches_any_value(q(text), r.t) for r in df.collect()] == want, text
+
+
+def test_sums_of_doubles_are_exact(spark):
+    rng = random.Random(5)
+    sets = [[0.1] * 10, [1e16, 1.0, 1.0, -1e16], [1e300, 5.0, -1e300], [1e-9 / 3] * 7, [2.0**40 + 0.25, -0.1, 0.3], [math.inf, 1.0], [-math.inf, 1e30], [0.0]]
+    sets += [[round(rng.expovariate(0.02), 2) for _ in range(300)] for _ in range(20)]
+    sets += [[rng.uniform(-1, 1) * 10 ** rng.randint(-6, 12) for _ in range(50)] for _ in range(20)]
+    rows = [(i, v) for i, s in enumerate(sets) for v in [*s, None]] + [(len(sets), None)]
+    got = {r.i: r.x for r in spark.createDataFrame(rows, "i int, v double").groupBy("i").agg(columns.exact_sum(F.col("v")).alias("x")).collect()}
+    for i, s in enumerate(sets):
+        if i == 2:  # beyond 2**85: plain sums
+            continue
+        assert got[i] == pytest.approx(math.fsum(s), rel=2e-16), s
+    assert got[0] == 1.0 and got[1] == 2.0 and got[5] == math.inf and got[6] == -math.inf and got[len(sets)] is None
+
+
+def test_filter_decides_on_exact_totals(spark):
+    """Of lines whose values add up to the threshold exactly none is above it, whatever the order of additions."""
+    rng = random.Random(3)
+    rows = []
+    for line in range(80):
+        cents = [rng.randint(1, 9000) for _ in range(69)]
+        cents.append(350_000 + line % 2 - sum(cents))
+        rows += [({"name": "a", "id": str(line)}, (k + 1) * STEP, c / 100) for k, c in enumerate(cents)]
+    source = series.datapoints(spark.createDataFrame(rows, readers.POINT).withColumnRenamed("timestamp", "ts"), STEP)
+    above = {str(line) for line in range(1, 80, 2)}
+    for stat, bound in (("total", "3500"), ("avg", "50")):
+        out = lines(spark, source, f"name,a,:eq,:sum,(,id,),:by,:stat-{stat},{bound},:gt,:filter", STEP, 71 * STEP)
+        assert {r.id for r in out.select("id").distinct().collect()} == above
+    top = lines(spark, source, "name,a,:eq,:sum,(,id,),:by,total,41,:topk", STEP, 71 * STEP)
+    assert {r.id for r in top.select("id").distinct().collect()} == above | {"0"}
