@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "tags MAP<STRING,STRING>, timestamp BIGINT, value DOUBLE"
 _FIELDS = "tags: MAP<STRING,STRING>, timestamp: BIGINT, value: DOUBLE"
-
+#: Most points of a compact payload, and rows of a decoded one that are held at once.
+PAYLOAD_POINTS = 10_000
 
 _BATCH = f"tags MAP<STRING,STRING>, metrics ARRAY<STRUCT<{_FIELDS}>>"
 
@@ -49,41 +51,63 @@ def compact_batch(spark: SparkSession, path: str) -> DataFrame:
     return decode_compact(spark.read.text(path, wholetext=True), "value")
 
 
-def _compact_rows(payload: str) -> list[tuple[dict[str, str], int, float]]:
+def _compact_rows(payload: str) -> Iterator[tuple[dict[str, str], int, float | None]]:
     cells = json.loads(payload)
     n = cells[0]
-    table, at, rows = cells[1 : 1 + n], 2 + n, []
+    table, at = cells[1 : 1 + n], 2 + n
     for _ in range(cells[1 + n]):
         k = cells[at]
         tags = {table[cells[at + 1 + 2 * i]]: table[cells[at + 2 + 2 * i]] for i in range(k)}
         at += 1 + 2 * k
-        rows.append((tags, int(cells[at]), float(cells[at + 1])))
+        value = cells[at + 1]
+        yield tags, int(cells[at]), None if value is None else float(value)
         at += 2
-    return rows
+
+
+def _point_batch(rows: list[tuple[dict[str, str], int, float | None]]) -> pa.RecordBatch:
+    tags = pa.array([list(t.items()) for t, _, _ in rows], pa.map_(pa.string(), pa.string()))
+    return pa.RecordBatch.from_arrays([tags, pa.array([ts for _, ts, _ in rows], pa.int64()), pa.array([v for _, _, v in rows], pa.float64())], ["tags", "ts", "value"])
 
 
 def decode_compact(payloads: DataFrame, column: str) -> DataFrame:
-    """compact_batch of a column of payloads, decoded where the rows are."""
+    """compact_batch of a column of payloads, decoded where the rows are: one payload at a time, PAYLOAD_POINTS rows at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                if payload.is_valid:
+                    rows = _compact_rows(payload.as_py())
+                    while part := list(itertools.islice(rows, PAYLOAD_POINTS)):
+                        yield _point_batch(part)
+
+    return payloads.select(column).mapInArrow(run, "tags MAP<STRING,STRING>, ts BIGINT, value DOUBLE")
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for payload in frame[column]:
-                yield pd.DataFrame(_compact_rows(payload), columns=["tags", "ts", "value"])
+def _points(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, str], int, float | None]]:
+    tags, stamps, values = batch.columns
+    at, keys, items = tags.offsets.to_pylist(), tags.keys.to_pylist(), tags.items.to_pylist()
+    for i, (ts, value) in enumerate(zip(stamps.to_pylist(), values.to_pylist(), strict=True)):
+        yield dict(zip(keys[at[i] : at[i + 1]], items[at[i] : at[i + 1]], strict=True)), ts, value
 
-    return payloads.select(column).mapInPandas(run, "tags MAP<STRING,STRING>, ts BIGINT, value DOUBLE")
 
+def compact_payloads(points: DataFrame, size: int = PAYLOAD_POINTS) -> DataFrame:
+    """Payloads of points (tags, timestamp, value): one for each timestamp, or for each `size` points of it if it has more.
 
-def compact_payloads(lists: DataFrame, column: str) -> DataFrame:
-    """A payload for each row's array of (tags, timestamp, value)."""
+    Points stream through in the order of their timestamps, so that a worker holds one
+    payload however many points a timestamp has.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"payload": [encode_compact([(dict(p["tags"]), p["timestamp"], p["value"]) for p in points]) for points in frame[column]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = itertools.chain.from_iterable(map(_points, batches))
+        for _, same in itertools.groupby(rows, key=lambda p: p[1]):
+            while part := list(itertools.islice(same, size)):
+                yield pa.RecordBatch.from_arrays([pa.array([encode_compact(part)], pa.string())], ["payload"])
 
-    return lists.select(column).mapInPandas(run, "payload STRING")
+    dealt = points.select("tags", "timestamp", "value").repartition("timestamp").sortWithinPartitions("timestamp")
+    return dealt.mapInArrow(run, "payload STRING")
 
 
-def encode_compact(rows: list[tuple[dict[str, str], int, float]]) -> str:
+def encode_compact(rows: list[tuple[dict[str, str], int, float | None]]) -> str:
     """The payload that compact_batch reads."""
     strings = sorted({s for tags, _, _ in rows for kv in tags.items() for s in kv})
     number = {s: i for i, s in enumerate(strings)}

@@ -380,3 +380,20 @@ def test_filter_decides_on_exact_totals(spark):
         assert {r.id for r in out.select("id").distinct().collect()} == above
     top = lines(spark, source, "name,a,:eq,:sum,(,id,),:by,total,41,:topk", STEP, 71 * STEP)
     assert {r.id for r in top.select("id").distinct().collect()} == above | {"0"}
+
+
+def test_compact_payloads_are_bounded(spark, sf_dir):
+    """A timestamp with many points gives several payloads; missing values and payloads come through."""
+    from tagloom import catalog_more  # noqa: F401
+
+    points = [({"name": "a", "id": str(i)}, 1, None if i == 3 else i / 7) for i in range(10)] + [({"name": "b"}, 2, 1.0), ({}, 2, -1.0), ({"x": "é\"\\\n"}, 2, 0.1)]
+    payloads = readers.compact_payloads(spark.createDataFrame(points, readers.POINT).repartition(3), 4)
+    texts = [r.payload for r in payloads.collect()]
+    assert sorted((len({ts for _, ts, _ in rows}), len(rows)) for rows in (list(readers._compact_rows(t)) for t in texts)) == [(1, 2), (1, 3), (1, 4), (1, 4)]
+    back = readers.decode_compact(payloads.unionByName(spark.createDataFrame([(None,)], "payload string")), "payload").collect()
+    key = lambda p: (p[1], sorted(p[0].items()))
+    assert sorted(((r.tags, r.ts, r.value) for r in back), key=key) == sorted(points, key=key)
+    many = readers.encode_compact([({"name": "a"}, i, float(i)) for i in range(2 * readers.PAYLOAD_POINTS + 1)])
+    assert readers.decode_compact(spark.createDataFrame([(many,)], "p string"), "p").agg(F.sum("value"), F.count("ts")).first() == (sum(range(2 * readers.PAYLOAD_POINTS + 1)), 2 * readers.PAYLOAD_POINTS + 1)
+    # no list of a whole hour is built on the way
+    assert "collect_list" not in catalog.QUERIES["publish_compact"](spark, sf_dir)._jdf.queryExecution().toString()
